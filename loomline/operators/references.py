@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 8 MB, the most that Spark's filter aggregate makes. Beyond about 7 million keys more
-#: references pass the filter and are verified by the join; the result is the same.
-MAX_BITS = 67_108_864
-MAX_ITEMS = 4_000_000
+from ..sources.tables import cut_lineage
+
+#: 2 MB: the filter has BITS_PER_KEY bits for each expected key, but never more than these.
+#: Beyond about 1.6 million keys more references pass the filter and are verified by the
+#: join; the result is the same.
+MAX_BITS = 1 << 24
+BITS_PER_KEY = 10
 BLANKS = r"[\s\p{Z}]"
 
 
@@ -36,11 +39,15 @@ def _jvm_call(spark: SparkSession, name: str, *columns: Column) -> Column:
     return Column(sc._jvm.PythonSQLUtils.internalFn(name, _to_seq(sc, list(columns), _to_java_column)))
 
 
-def might_contain(keys: DataFrame, key: str, probe: Column) -> Column:
-    """False where ``probe`` is certainly not among ``keys.key``. Lazy: no job runs here."""
+def might_contain(keys: DataFrame, key: str, probe: Column, expected: int) -> Column:
+    """False where ``probe`` is certainly not among ``keys.key``. Lazy: no job runs here.
+
+    ``expected`` keys give about 1 % false hits; more keys give more of them, never a wrong False.
+    """
     spark = keys.sparkSession
+    bits = min(MAX_BITS, max(1 << 13, expected * BITS_PER_KEY))
     bloom = keys.agg(
-        _jvm_call(spark, "bloom_filter_agg", F.xxhash64(key), F.lit(MAX_ITEMS).cast("long"), F.lit(MAX_BITS).cast("long")).alias("bloom")
+        _jvm_call(spark, "bloom_filter_agg", F.xxhash64(key), F.lit(max(1, bits // BITS_PER_KEY)).cast("long"), F.lit(bits).cast("long")).alias("bloom")
     )
     jvm = spark.sparkContext._jvm
     wrap = jvm.org.apache.spark.sql.classic.ExpressionUtils
@@ -68,13 +75,13 @@ def orphans(
         bare_id(F.col(parent_id)).alias("key"), F.struct(F.col(parent_at).alias("at"), F.col(deleted_at).alias("gone")).alias("version")
     ).filter(F.col("key") != "")
     latest = versions.groupBy("key").agg(F.max("version").alias("version")).select("key", F.col("version.gone").alias("gone"))
-    known = might_contain(versions, "key", F.col("key"))
+    known = might_contain(versions, "key", F.col("key"), versions.count())
     certain = refs.filter(~known).select("child_id", "seen_at", F.lit("missing").alias("why"))
-    unsure = refs.filter(known)
-    false_hits = unsure.select("key").distinct().join(latest, "key", "left_anti").select("key", F.lit(None).cast("timestamp").alias("gone"))
-    bad = false_hits.unionByName(latest.filter(F.col("gone").isNotNull()).select("key", F.col("gone").cast("timestamp").alias("gone")))
+    false_hits = refs.filter(known).select("key").distinct().join(latest, "key", "left_anti").select("key", F.lit(None).cast("timestamp").alias("gone"))
+    gone = latest.filter(F.col("gone").isNotNull()).select("key", F.col("gone").cast("timestamp").alias("gone"))
+    bad = cut_lineage(false_hits.unionByName(gone))
     verified = (
-        refs.filter(known & might_contain(bad, "key", F.col("key")))
+        refs.filter(might_contain(bad, "key", F.col("key"), bad.count()))
         .join(bad, "key")
         .filter(F.col("gone").isNull() | (F.col("gone") <= F.col("seen_at")))
         .select("child_id", "seen_at", F.when(F.col("gone").isNull(), "missing").otherwise("deleted").alias("why"))
