@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def to_code_points(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +48,7 @@ def from_code_points(points: np.ndarray, borders: np.ndarray, valid: np.ndarray
         len(borders) - 1, pa.py_buffer(offsets.astype(np.int64 if large else np.int32)), pa.py_buffer(data)
     )
     if valid is not None and not valid.all():
-        array = pa.compute.if_else(pa.array(valid), array, pa.scalar(None, array.type))
+        array = pc.if_else(pa.array(valid), array, pa.scalar(None, array.type))
     return array
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.references import bare_id
 from ..sources.tables import table
-from . import plain_text
+from . import cooccurrence, leakage, plain_text
+from .shared_spans import SharedSpans
 
 TEXT_FIELDS = (("playlist_tracks", "seq", "track_name"), ("playlist_tracks", "seq", "artist_names"), ("library", "file_id", "artist"))
 
@@ -30,5 +32,58 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.groupBy("tab", "field", "plain").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_forms"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
-SQL: dict[str, str] = {}
+def _track_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "playlist_tracks").select(bare_id(F.col("playlist_id")).alias("basket"), F.trim("track_id").alias("item"))
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of tracks with its counts, lift and odds ratio."""
+    return cooccurrence.together(_track_baskets(spark, sf_dir), "basket", "item")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    often = p7_pairs(spark, sf_dir).filter(F.col("n_ab") * F.col("n_baskets") >= 3 * F.col("n_a") * F.col("n_b"))
+    return often.select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with its longest run of words and the share of the item in the document."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").found_pairs()
+
+
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document how much of it stands in others too."""
+    return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").coverage()
+
+
+def p10_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the spans that an earlier document has too."""
+    return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").stripped()
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
+
+#: A playlist reference as a bare id, in SQL.
+_TEXT = r"regexp_replace(coalesce(playlist_id, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_ID = r"'^(?:.*[/:])?([^/:?#\s]+)/?(?:[?#].*)?$'"
+_P7 = f"""WITH d AS (SELECT DISTINCT CASE WHEN regexp_extract({_TEXT}, {_ID}, 1) <> '' THEN regexp_extract({_TEXT}, {_ID}, 1) ELSE {_TEXT} END AS basket,
+  trim(track_id) AS item FROM playlist_tracks WHERE trim(coalesce(track_id, '')) <> ''),
+sizes AS (SELECT basket FROM d WHERE basket <> '' GROUP BY basket HAVING count(*) BETWEEN 2 AND 300),
+k AS (SELECT d.* FROM d JOIN sizes USING (basket)),
+n AS (SELECT item, count(*) AS n FROM k GROUP BY item),
+t AS (SELECT count(*) AS total FROM sizes),
+ab AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM k a JOIN k b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
+p AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, total AS n_baskets FROM ab JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b CROSS JOIN t)"""
+SQL: dict[str, str] = {
+    "p7_found": f"{_P7} SELECT item_a AS track_a, item_b AS track_b FROM p WHERE n_ab * n_baskets >= 3 * n_a * n_b",
+    "p7_pairs": f"""{_P7} SELECT *, CAST(n_ab * n_baskets AS DOUBLE) / (n_a * n_b) AS lift,
+  ((n_ab + 0.5::DOUBLE) * (n_baskets - n_a - n_b + n_ab + 0.5::DOUBLE)) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)) AS odds_ratio FROM p""",
+}
