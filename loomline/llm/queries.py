@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.references import bare_id
 from ..sources.tables import table
-from . import cooccurrence, leakage, plain_text
+from . import cooccurrence, leakage, name_variants, plain_text
+from .mixing import Mix
 from .shared_spans import SharedSpans
 
 TEXT_FIELDS = (("playlist_tracks", "seq", "track_name"), ("playlist_tracks", "seq", "artist_names"), ("library", "file_id", "artist"))
@@ -69,7 +70,31 @@ def p10_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").stripped()
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
+def _act_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = table(spark, sf_dir, "library")
+    return library.select(F.col("artist").alias("name")).unionByName(library.select(F.col("albumartist").alias("name")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(_act_names(spark, sf_dir), "name")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a single act with the act's cluster."""
+    return name_variants.act_clusters(_act_names(spark, sf_dir), "name")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: one row per slot, with the tokens of its block."""
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).mixed()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and real share of every source in that mix."""
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
 
 #: A playlist reference as a bare id, in SQL.
 _TEXT = r"regexp_replace(coalesce(playlist_id, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
