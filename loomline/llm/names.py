@@ -125,7 +125,7 @@ def tokens(act: str) -> tuple[str, ...]:
     return tuple(sorted(kept or out))
 
 
-_CODE = str.maketrans({"c": "k", "q": "k", "g": "k", "z": "s", "v": "f", "w": "f", "d": "t", "b": "p", "h": None, "y": None, "a": None, "e": None, "i": None, "o": None, "u": None, "j": "s"})
+_CODE = str.maketrans({"c": "k", "q": "k", "g": "k", "x": "k", "z": "s", "v": "f", "w": "f", "d": "t", "b": "p", "h": None, "y": None, "a": None, "e": None, "i": None, "o": None, "u": None, "j": "s"})
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -133,7 +133,7 @@ def phonetic(word: str) -> str:
     """The consonants of a Latin word by sound, equal neighbours once; other words as they are."""
     if not word.isascii():
         return word
-    code = word.replace("ph", "f").replace("x", "ks").translate(_CODE)
+    code = word.replace("ph", "f").translate(_CODE)
     return re.sub(r"(.)\1+", r"\1", code) or word[:1]
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.multivalue import NAME_DELIMITERS, split_values
 from ..operators.references import bare_id
 from ..sources.tables import table
-from . import cooccurrence, leakage, name_variants, plain_text
+from . import cooccurrence, leakage, linkage, name_variants, plain_text, survivors
 from .mixing import Mix
 from .shared_spans import SharedSpans
 
@@ -70,6 +71,37 @@ def p10_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").stripped()
 
 
+def _first_credit(field: str) -> Column:
+    """The first of the acts in a packed field. Where the field is not quoted, its commas are
+    left in: whether one is part of a name is seen from the name."""
+    quoted = F.ltrim(field).rlike(r'^["\[]')
+    first = F.when(quoted, F.get(split_values(F.col(field), NAME_DELIMITERS), 0)).otherwise(F.get(split_values(F.col(field), "[;|]| / "), 0))
+    return F.coalesce(first, field)
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every track id and file of one recording with a confidence."""
+    tracks = table(spark, sf_dir, "playlist_tracks").select("track_id", "track_name", "duration_ms", _first_credit("artist_names").alias("act"))
+    library = table(spark, sf_dir, "library")
+    return linkage.recordings(
+        tracks, "track_id", "track_name", "act", "duration_ms", library, "file_id", "artist", "albumartist", "title", "path", "length"
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_links(spark, sf_dir).select("track_id", "file_id")
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of every recording of the manifest."""
+    manifest = table(spark, sf_dir, "spotify_manifest").withColumn("act", _first_credit("artist_names"))
+    return survivors.best_records(manifest, "row_id", "track_id", "track_name", "act", "popularity", "spotify_url", "exported_at")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_records(spark, sf_dir).filter(F.col("n_rows") > 1).select("first_id", "keeper_id", "url_id")
+
+
 def _act_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = table(spark, sf_dir, "library")
     return library.select(F.col("artist").alias("name")).unionByName(library.select(F.col("albumartist").alias("name")))
@@ -94,7 +126,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
 
 #: A playlist reference as a bare id, in SQL.
 _TEXT = r"regexp_replace(coalesce(playlist_id, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
