@@ -96,9 +96,9 @@ def unique_names(df: DataFrame, folder: list[str], base: Column, ext: Column, se
     family = [*folder, "_root", "_lowext"]
     kinds = rows.groupBy(*family).agg(F.min("_low").alias("_a"), F.max("_low").alias("_b"))
     mixed = kinds.filter("_a <> _b").select(*family)
-    ranked = position_in_group(rows.join(mixed, family, "left_anti"), family, "_seq")
-    name = F.when(F.col("place") == 1, F.concat("_base", "_ext")).otherwise(F.concat("_base", F.lit(" ("), F.col("place").cast("string"), F.lit(")"), "_ext"))
-    easy = ranked.withColumn("unique_name", name).drop("place")
+    ranked = position_in_group(rows.join(mixed, family, "left_anti"), family, "_seq", "_rank")
+    name = F.when(F.col("_rank") == 1, F.concat("_base", "_ext")).otherwise(F.concat("_base", F.lit(" ("), F.col("_rank").cast("string"), F.lit(")"), "_ext"))
+    easy = ranked.withColumn("unique_name", name).drop("_rank")
     held = rows.join(mixed, family, "left_semi")
     walked = held.select(*family, "_seq", "_base", "_ext").groupBy(*family).applyInPandas(_suffixed, "_seq long, unique_name string")
     return easy.unionByName(held.join(walked, "_seq")).drop("_base", "_ext", "_seq", "_root", "_low", "_lowext")
