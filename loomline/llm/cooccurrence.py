@@ -40,11 +40,12 @@ def bounded_baskets(rows: DataFrame, basket: str, item: str, min_size: int, max_
     sizes = distinct.groupBy("basket").agg(F.count("*").alias("size"))
     out = sizes.filter((F.col("size") < min_size) | (F.col("size") > max_size)).select("basket")
     doubted = might_contain(out, "basket", F.col("basket"), EXPECTED_OUT)
+    # the filter already leaves next to nothing to check, so this join is cheap without a broadcast too
     salted = out.select("basket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     checked = (
         distinct.filter(doubted)
         .withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["basket", "salt"], "left_anti")
+        .join(salted.hint("merge"), ["basket", "salt"], "left_anti")
         .select("basket", "item")
     )
     return distinct.filter(~doubted).unionByName(checked)
@@ -151,8 +152,8 @@ def together(rows: DataFrame, basket: str, item: str, min_size: int = 2, max_siz
     b = frequent.select(F.col("code").alias("code_b"), F.col("item").alias("y"), F.col("n").alias("n_y"))
     found = (
         pairs.select(F.shiftright("pair", 32).alias("code_a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code_b"), F.col("n").alias("n_ab"))
-        .join(a, "code_a")
-        .join(b, "code_b")
+        .join(a.hint("merge"), "code_a")  # neither side has a size bound: no broadcast, also not at run time
+        .join(b.hint("merge"), "code_b")
     )
     swap = F.col("x") > F.col("y")
     counted = found.select(
