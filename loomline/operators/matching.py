@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import cut_lineage
 
 # Tiers and the least likeness of the fuzzy tier.
 TIERS = {1: "title+primary", 2: "title+artist", 3: "title+album", 4: "core-title", 5: "fuzzy", 6: "raw-title", 7: "album+track"}
@@ -127,8 +128,8 @@ def match_rows(tracks: DataFrame, library: DataFrame, fuzzy: bool = True) -> Dat
     rows = tracks.select("seq", T.text(F.col("playlist_id")).alias("playlist_id"), T.text(F.col("track_id")).alias("track_id"), F.to_json(F.struct(*QUERY)).alias("query"), *QUERY)
     first = rows.filter("track_id <> ''").groupBy("playlist_id", "track_id").agg(F.min_by("query", "seq").alias("first_query"))
     keyed = rows.select("seq", "playlist_id", "track_id", "query").join(first, ["playlist_id", "track_id"], "left").withColumn("query", F.coalesce("first_query", "query")).drop("first_query")
-    q, c = queries(rows), catalog(library)
-    found = exact_matches(q, c)
+    q, c = cut_lineage(queries(rows)), cut_lineage(catalog(library))  # each is read by every tier
+    found = cut_lineage(exact_matches(q, c))
     if fuzzy:
         found = found.unionByName(fuzzy_matches(q.join(found, "query", "left_anti"), c))
     empty = q.filter("empty").select("query", F.lit(True).alias("empty"))
