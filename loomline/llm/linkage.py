@@ -1,7 +1,8 @@
 """Problem 2: tracks and files of one recording, without a common key.
 
-1. Tracks with equal first act, title words and version are one node; a file is a node with
-   several readings of its act and title, from its tags and its path.
+1. Tracks with equal first act, title words and version are one node. A file has several
+   readings of its act and title, from its tags and its path; files with equal readings and
+   length are one node.
 2. Nodes are joined by rare shared attributes: the phonetic code of a word of the act beside
    those of the two rarest words of the title. An edge weighs as much as its attributes are rare.
 3. Meta-blocking drops edges that are weak against the best edges of both their nodes.
@@ -176,11 +177,13 @@ def _candidates(tracks: DataFrame, files: DataFrame) -> DataFrame:
     total = F.lit(1.0) + tracks.agg(F.count("*").alias("n")).scalar() + files.agg(F.count("*").alias("n")).scalar()
     sizes = left.groupBy("key").agg(F.count("*").alias("n_left")).join(right.groupBy("key").agg(F.count("*").alias("n_right")), "key")
     weight = F.log2(total / (F.col("n_left") + F.col("n_right")) + 1)
-    parts = F.ceil(F.col("n_left") / BLOCK).cast("int")
-    sizes = sizes.select("key", parts.alias("parts"), weight.alias("weight"))
-    a = left.join(sizes, "key").select("key", F.col("node").alias("track_node"), "weight", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    b = right.join(sizes, "key").select("key", F.col("node").alias("file_node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    edges = cut_lineage(a.join(b, ["key", "part"]).groupBy("track_node", "file_node").agg(F.sum("weight").alias("weight")))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = sizes.select("key", parts("n_left").alias("rows"), parts("n_right").alias("columns"), weight.alias("weight"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(sizes, "key").select("key", F.col("node").alias("track_node"), "weight", own("rows").alias("row"), every("columns").alias("column"))
+    b = right.join(sizes, "key").select("key", F.col("node").alias("file_node"), own("columns").alias("column"), every("rows").alias("row"))
+    edges = cut_lineage(a.join(b, ["key", "row", "column"]).groupBy("track_node", "file_node").agg(F.sum("weight").alias("weight")))
     best_t = edges.groupBy("track_node").agg((F.max("weight") * KEEP).alias("floor_t"))
     best_f = edges.groupBy("file_node").agg((F.max("weight") * KEEP).alias("floor_f"))
     kept = edges.join(best_t, "track_node").join(best_f, "file_node").filter((F.col("weight") >= F.col("floor_t")) | (F.col("weight") >= F.col("floor_f")))
@@ -235,7 +238,10 @@ def recordings(
     f_rows = files.select(
         F.col(file_id).cast("long").alias("file_id"), F.col(artist).alias("artist"), F.col(albumartist).alias("albumartist"), F.col(title).alias("title"), F.col(path).alias("path"), F.col(length).cast("double").alias("length")
     ).distinct()
-    f_nodes = cut_lineage(f_rows.repartition("file_id").mapInPandas(_files, f"file_id long, length double, {READINGS}").withColumn("node", F.concat_ws("#", F.col("file_id").cast("string"), F.xxhash64("acts", "titles", "length").cast("string"))))
+    signature = F.md5(F.to_json(F.struct("acts", "titles", "length")))
+    f_parsed = cut_lineage(f_rows.repartition("file_id").mapInPandas(_files, f"file_id long, length double, {READINGS}").withColumn("node", signature))
+    # files with equal readings and lengths, however many, are one node
+    f_nodes = cut_lineage(f_parsed.groupBy("node").agg(F.first("acts").alias("acts"), F.first("titles").alias("titles"), F.first("length").alias("length")))
     both = t_nodes.select(F.lit("t").alias("side"), "node", F.array("act").alias("acts"), F.array(F.struct("words", "version")).alias("titles")).unionByName(
         f_nodes.select(F.lit("f").alias("side"), "node", "acts", "titles")
     )
@@ -253,5 +259,5 @@ def recordings(
     scored = scored.withColumn("t_title", F.split_part("track_node", F.lit("|"), F.lit(2)))
     found = spread(scored).filter(F.col("confidence") >= ACCEPT).select("track_node", "file_node", "confidence")
     ids = parsed.select("track_id", F.col("node").alias("track_node")).distinct()
-    out = found.join(ids, "track_node").join(f_nodes.select("file_id", F.col("node").alias("file_node")), "file_node")
+    out = found.join(ids, "track_node").join(f_parsed.select("file_id", F.col("node").alias("file_node")).distinct(), "file_node")
     return out.groupBy("track_id", "file_id").agg(F.max("confidence").alias("confidence"))
