@@ -272,3 +272,12 @@ def counted_summary(counts: list[tuple[Column, str]]) -> Column:
     """The counters that are not 0, as ``3 copied, 1 errors``; else ``nothing to do``."""
     shown = F.filter(F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in counts]), lambda x: x.isNotNull())
     return F.when(F.size(shown) == 0, "nothing to do").otherwise(F.array_join(shown, ", "))
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """``path`` as seen from ``folder``; both normal and from one root."""
+    a, b = F.split(normal_path(path), "/"), F.filter(F.split(normal_path(folder), "/"), lambda x: x != "")
+    same = F.transform(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), lambda i: F.slice(a, 1, i + 1) == F.slice(b, 1, i + 1))
+    k = F.when(F.size(b) == 0, 0).otherwise(F.size(F.filter(same, lambda x: x)))
+    up = F.repeat(F.lit("../"), F.size(b) - k)
+    return F.concat(up, F.array_join(F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0))), "/"))

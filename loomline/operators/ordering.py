@@ -34,10 +34,11 @@ def position_in_group(df: DataFrame, group: list[str], seq: str, name: str = "pl
     return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
-def numbered(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column] | None = None, most: int | None = None) -> DataFrame:
     """``df`` with ``code``: 0, 1, 2 ... without gaps, in ``order`` where it is given.
 
-    Rows are written once, range-partitioned by ``order``; the driver sees one count per partition.
+    Rows are written once, range-partitioned by ``order``, so numbers stay the same when a
+    task runs again; the driver sees one count per partition. More than ``most`` rows are an error.
     """
     fixed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df)
     at = F.monotonically_increasing_id()
@@ -47,6 +48,8 @@ def numbered(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     for p in range(max(counts, default=0) + 1):
         starts.append(total)
         total += counts.get(p, 0)
+    if most is not None and total > most:
+        raise ValueError(f"{total} rows cannot be numbered below {most}")
     offset = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_part"))
     return placed.withColumn("code", offset + F.col("_place")).drop("_part", "_place")
 

@@ -90,8 +90,8 @@ def orphans(
 
 
 def orphan_report(tab: str, child: DataFrame, reference: str, seen_at: str, found: DataFrame) -> DataFrame:
-    """Counts (tab, month, n_refs, n_missing, n_deleted) of the references and orphans of one table."""
-    month = F.date_format("seen_at", "yyyy-MM")
+    """Counts (tab, month, n_refs, n_missing, n_deleted) of the references and orphans of one table, months in UTC."""
+    month = F.date_format(F.to_utc_timestamp("seen_at", F.current_timezone()), "yyyy-MM")
     refs = child.select(F.col(seen_at).alias("seen_at"), bare_id(F.col(reference)).alias("key")).filter(F.col("key") != "")
     counted = refs.select(month.alias("month"), F.lit(1).alias("ref"), F.lit(None).cast("string").alias("why")).unionByName(
         found.select(month.alias("month"), F.lit(0).alias("ref"), "why")

@@ -131,3 +131,8 @@ def pick_hit(hits: DataFrame) -> DataFrame:
     """
     order = F.struct("search", (~(F.lower("title") == F.lower("wanted"))).cast("int").alias("other"), "pos", "id")
     return hits.groupBy("query").agg(F.min(order).alias("best"), F.min_by("title", order).alias("title")).select("query", F.col("best.id").alias("id"), "title")
+
+
+def widest_image(images: DataFrame, key: str) -> DataFrame:
+    """Per key the url of the widest image (key, url, width, pos), the first of equals."""
+    return images.groupBy(key).agg(F.max_by("url", F.struct(F.coalesce("width", F.lit(0)), -F.col("pos"))).alias("url"))

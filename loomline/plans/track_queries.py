@@ -71,7 +71,7 @@ def q_m3u_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library"), fuzzy=False).filter("file_id is not null").drop("path").join(files, "file_id")
     info = F.concat(F.lit("#EXTINF:"), T.ext_seconds(F.col("length")).cast("string"), F.lit(","), T.entry_label(F.col("artist"), F.col("title")))
     track = F.when(F.trim("track_id") != "", F.concat(F.lit("#SPOTIFY:"), F.trim("track_id")))
-    path = F.concat(F.lit("../"), T.normal_path(F.col("file_path")))
+    path = T.relative_path(F.col("file_path"), F.lit("playlists"))
     lines = rows.select("playlist_id", "seq", F.posexplode(F.array(track, info, path)).alias("part", "line"))
     return lines.filter("line is not null").select("playlist_id", "seq", F.col("part").cast("int").alias("part"), "line")
 

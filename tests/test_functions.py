@@ -61,3 +61,9 @@ def test_other_functions(spark):
     assert [one(spark, c) for c in T.spec_parts(lit("A - B - C"))] == ["A", "B - C"] and [one(spark, c) for c in T.spec_parts(lit("B"))] == ["", "B"]
     assert one(spark, T.counted_summary([(lit(2), "copied"), (lit(0), "errors")])) == "2 copied" and one(spark, T.counted_summary([(lit(0), "x")])) == "nothing to do"
     assert one(spark, T.fuzzy_key(lit("A B, C"), lit("T (x)"))) == "a b|||t" and one(spark, T.is_link(lit("https://x"))) and not one(spark, T.is_link(lit(None)))
+
+
+def test_relative_path(spark):
+    pairs = [("albums/a.mp3", "playlists", "../albums/a.mp3"), ("playlists/x/a", "playlists", "x/a"), ("a", "", "a"), ("b/c/d", "b/e/f", "../../c/d"), ("b/c", "b", "c")]
+    df = spark.createDataFrame(pairs, "p string, f string, want string").withColumn("got", T.relative_path(F.col("p"), F.col("f")))
+    assert all(r.got == r.want for r in df.collect())

@@ -213,3 +213,17 @@ def test_pages(spark):
     assert [(r.id, r.owner, r.track_count) for r in pages.flatten_playlists(df, owner="me").collect()] == [("1", "Me", 3)] and pages.flatten_playlists(df).count() == 2
     albums = spark.createDataFrame([('{"tracks":{"items":[{"id":"a","name":"n","artists":[{"name":"Q"}]}]}}', "L"), ('{"items":[{"id":"b","name":"m","artists":[]}]}', "L")], "json string, album string")
     assert {(r.track_id, r.artist_names, r.album_name) for r in pages.flatten_album_tracks(albums, "json", "album").collect()} == {("a", "Q", "L"), ("b", "", "L")}
+
+
+def test_small_picks(spark):
+    images = spark.createDataFrame([("p", "a", 10, 0), ("p", "b", 30, 1), ("p", "c", 30, 2), ("q", "d", None, 0)], "id string, url string, width int, pos int")
+    assert {(r.id, r.url) for r in resolve.widest_image(images, "id").collect()} == {("p", "b"), ("q", "d")}
+    hits = spark.createDataFrame([("x", 2, 0, "T", "t", 1), ("x", 1, 0, "other", "t", 2), ("x", 1, 1, "T", "t", 3), ("y", 3, 0, "z", "t", 4)], "query string, search int, pos int, title string, wanted string, id long")
+    assert {(r.query, r.id) for r in resolve.pick_hit(hits).collect()} == {("x", 3), ("y", 4)}
+    old, new = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), spark.createDataFrame([("b", 3)], "id string, v int")
+    assert {tuple(r) for r in resolve.scoped_refresh(old, new, "id").collect()} == {("a", 1), ("b", 3)}
+    lists = spark.createDataFrame([("1", "One"), ("2", "Two"), ("3", " one ")], "id string, name string")
+    assert {r.id for r in resolve.selected_playlists(lists, spark.createDataFrame([("ONE",), ("2",)], "token string")).collect()} == {"1", "2", "3"}
+    entries = spark.createDataFrame([("p1", "Mix", "a"), ("p1", "Mix", "b"), ("p2", "mix!", "c")], "playlist string, name string, path string")
+    found = resolve.resolve_playlists(spark.createDataFrame([("MIX",)], "spec string"), entries, spark.createDataFrame([("a",)], "path string"))
+    assert {(r.playlist, r.path, r.exists) for r in found.collect()} == {("p1", "a", True), ("p1", "b", False), ("p2", "c", False)}
