@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from ..operators.references import might_contain
 from ..sources.tables import cut_lineage
 
@@ -51,26 +52,6 @@ def bounded_baskets(rows: DataFrame, basket: str, item: str, min_size: int, max_
     return distinct.filter(~doubted).unionByName(checked)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a column ``code`` that counts its rows from 0 without gaps.
-
-    ``df`` must be checkpointed: row order within its partitions is then fixed. The driver
-    sees one count per partition.
-    """
-    at = F.monotonically_increasing_id()
-    part, place = F.shiftright(at, 33).cast("int"), at.bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.withColumn("_part", part).withColumn("_place", place)
-    counts = dict(placed.groupBy("_part").count().collect())
-    starts, total = [], 0
-    for p in range(max(counts, default=0) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    if total >= 1 << 31:
-        raise ValueError("more than 2**31 frequent items do not fit a packed pair code")
-    offset = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_part"))
-    return placed.withColumn("code", offset + F.col("_place")).drop("_part", "_place")
-
-
 def _run(codes: list[np.ndarray]) -> pa.RecordBatch:
     unique, n = np.unique(np.concatenate(codes), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(n.astype(np.int64))], names=["pair", "n"])
@@ -141,7 +122,7 @@ def together(rows: DataFrame, basket: str, item: str, min_size: int = 2, max_siz
     """
     inside = cut_lineage(bounded_baskets(rows, basket, item, min_size, max_size))
     # an item in fewer baskets than min_count is in no counted pair: leaving it out is exact
-    frequent = numbered(cut_lineage(inside.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)))
+    frequent = numbered(inside.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count), most=1 << 31)
     n_baskets = inside.agg(F.count_distinct("basket").alias("n_baskets"))
     baskets = (
         inside.join(frequent.select("item", "code"), "item").groupBy("basket").agg(F.collect_list("code").alias("codes")).filter(F.size("codes") > 1)

@@ -139,7 +139,19 @@ n AS (SELECT item, count(*) AS n FROM k GROUP BY item),
 t AS (SELECT count(*) AS total FROM sizes),
 ab AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM k a JOIN k b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
 p AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, total AS n_baskets FROM ab JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b CROSS JOIN t)"""
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _grams(name: str, key: str, tab: str) -> str:
+    windows = f"SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {key}, {_WORDS} AS w FROM {tab}) WHERE len(w) >= 12"
+    return f"{name} AS (SELECT {key}, array_to_string(w[k:k + 11], ' ') AS gram FROM ({windows}))"
+
+
 SQL: dict[str, str] = {
+    "p8_found": f"WITH {_grams('d', 'doc_id', 'documents')}, {_grams('i', 'item_id', 'eval_items')} SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON d.gram = i.gram",
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, substring(text, k, 240) AS span FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS k FROM documents WHERE length(text) >= 240)),
+shared AS (SELECT span FROM g GROUP BY span HAVING count(*) > 1), s AS (SELECT g.* FROM g JOIN shared ON g.span = shared.span)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.span = b.span AND a.doc_id < b.doc_id""",
     "p7_found": f"{_P7} SELECT item_a AS track_a, item_b AS track_b FROM p WHERE n_ab * n_baskets >= 3 * n_a * n_b",
     "p7_pairs": f"""{_P7} SELECT *, CAST(n_ab * n_baskets AS DOUBLE) / (n_a * n_b) AS lift,
   ((n_ab + 0.5::DOUBLE) * (n_baskets - n_a - n_b + n_ab + 0.5::DOUBLE)) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)) AS odds_ratio FROM p""",

@@ -284,8 +284,9 @@ class SharedSpans:
         A text that is a copy of an earlier id's text is left with ''; texts with nothing
         shared are not listed.
         """
-        cuts = self.spans().groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("cuts"))
-        texts = self.docs.select("doc", "text").filter(might_contain(cuts, "doc", F.col("doc"), 1_000_000)).join(cuts, "doc")
+        ends = F.struct("start", (F.col("start") + F.col("size")).alias("stop"))
+        cuts = cut_lineage(self.spans().groupBy("doc").agg(F.array_sort(F.collect_set(ends)).alias("cuts")))
+        texts = self._within(self.docs.select("doc", "text"), cuts.select("doc"), "doc").join(cuts, "doc")
         start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept"))
         merged = F.aggregate(
             "cuts",
