@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,17 +75,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     return joined.select(key, place.alias("place"), *[F.when(known, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns])
 
 
-def _suffixed(frame: pd.DataFrame) -> pd.DataFrame:
-    """Names of one colliding family in order: the first keeps its name, later ones count up."""
-    frame = frame.sort_values("_seq")
-    taken, out = set(), []
-    for base, ext in zip(frame["_base"], frame["_ext"], strict=True):
-        name, n = f"{base}{ext}", 2
-        while name.lower() in taken:
-            name, n = f"{base} ({n}){ext}", n + 1
-        taken.add(name.lower())
-        out.append(name)
-    return frame.assign(unique_name=out)[["_seq", "unique_name"]]
+def _suffixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of colliding families, which come one after another and in order: the first keeps
+    its name, later ones count up. Only the names taken in the current family are held."""
+    family, taken, free = None, set(), {}
+    for frame in frames:
+        out = []
+        for key, base, ext in zip(frame["_family"], frame["_base"], frame["_ext"], strict=True):
+            if key != family:
+                family, taken, free = key, set(), {}
+            stem = (base.lower(), ext.lower())
+            name, n = f"{base}{ext}", free.get(stem, 2)  # the smallest free counter of a base never falls
+            while name.lower() in taken:
+                name, n = f"{base} ({n}){ext}", n + 1
+            free[stem] = n
+            taken.add(name.lower())
+            out.append(name)
+        yield pd.DataFrame({"_seq": frame["_seq"], "unique_name": out})
 
 
 def unique_names(df: DataFrame, folder: list[str], base: Column, ext: Column, seq: str) -> DataFrame:
@@ -103,5 +111,6 @@ def unique_names(df: DataFrame, folder: list[str], base: Column, ext: Column, se
     name = F.when(F.col("_rank") == 1, F.concat("_base", "_ext")).otherwise(F.concat("_base", F.lit(" ("), F.col("_rank").cast("string"), F.lit(")"), "_ext"))
     easy = ranked.withColumn("unique_name", name).drop("_rank")
     held = rows.join(mixed, family, "left_semi")
-    walked = held.select(*family, "_seq", "_base", "_ext").groupBy(*family).applyInPandas(_suffixed, "_seq long, unique_name string")
+    one = held.select(F.to_json(F.struct(*family)).alias("_family"), "_seq", "_base", "_ext")
+    walked = one.repartition("_family").sortWithinPartitions("_family", "_seq").mapInPandas(_suffixed, "_seq long, unique_name string")
     return easy.unionByName(held.join(walked, "_seq")).drop("_base", "_ext", "_seq", "_root", "_low", "_lowext")
