@@ -174,7 +174,9 @@ class SharedSpans:
             .filter(F.col("low") != F.col("high"))
             .select("anchor", "n")
         )
-        places = cut_lineage(self._within(self._anchored(), shared, "anchor").distinct())
+        # copies of a text have equal rows here: they become one before the shuffle
+        near = self._anchored().filter(might_contain(shared, "anchor", F.col("anchor"), shared.count())).distinct()
+        places = cut_lineage(near.join(shared, "anchor"))
         self.starts = places.groupBy("cls").agg(F.collect_set("start").alias("starts"))
         few = places.filter(F.col("n") <= FEW).groupBy("anchor").agg(F.collect_set("cls").alias("m"))
         pairs = _members_paired(few, "m")
