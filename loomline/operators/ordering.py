@@ -15,6 +15,14 @@ from ..sources.tables import cut_lineage
 RANGE = 1_000_000
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal; the key columns are those of ``left``."""
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
+    joined = left.join(renamed, same, how)
+    return joined.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def first_seen(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row per key: the one with the smallest ``seq``. Partial aggregates, no sort."""
     rest = F.struct(*[c for c in df.columns if c not in keys])
@@ -22,7 +30,7 @@ def first_seen(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def position_in_group(df: DataFrame, group: list[str], seq: str, name: str = "place", span: int = RANGE) -> DataFrame:
-    """``df`` with the 1-based place of every row in its group by ``seq`` (whole numbers, unique in the group).
+    """``df`` with the 1-based place of every row in its group by ``seq`` (whole numbers, unique in the group). Null is a group too.
 
     Places within a range of ``seq`` come from one window, the counts of earlier ranges are
     added: no task sorts more of a group than ``span`` rows.
@@ -32,7 +40,7 @@ def position_in_group(df: DataFrame, group: list[str], seq: str, name: str = "pl
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("_before", before).drop("_n")
     own = F.row_number().over(W.partitionBy(*group, "_range").orderBy(seq))
-    ranked = placed.withColumn("_own", own).join(counts, [*group, "_range"])
+    ranked = same_keys(placed.withColumn("_own", own), counts, [*group, "_range"])
     return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
@@ -107,10 +115,10 @@ def unique_names(df: DataFrame, folder: list[str], base: Column, ext: Column, se
     family = [*folder, "_root", "_lowext"]
     kinds = rows.groupBy(*family).agg(F.min("_low").alias("_a"), F.max("_low").alias("_b"))
     mixed = kinds.filter("_a <> _b").select(*family)
-    ranked = position_in_group(rows.join(mixed, family, "left_anti"), family, "_seq", "_rank")
+    ranked = position_in_group(same_keys(rows, mixed, family, "left_anti"), family, "_seq", "_rank")
     name = F.when(F.col("_rank") == 1, F.concat("_base", "_ext")).otherwise(F.concat("_base", F.lit(" ("), F.col("_rank").cast("string"), F.lit(")"), "_ext"))
     easy = ranked.withColumn("unique_name", name).drop("_rank")
-    held = rows.join(mixed, family, "left_semi")
+    held = same_keys(rows, mixed, family, "left_semi")
     one = held.select(F.to_json(F.struct(*family)).alias("_family"), "_seq", "_base", "_ext")
     walked = one.repartition("_family").sortWithinPartitions("_family", "_seq").mapInPandas(_suffixed, "_seq long, unique_name string")
     return easy.unionByName(held.join(walked, "_seq")).drop("_base", "_ext", "_seq", "_root", "_low", "_lowext")

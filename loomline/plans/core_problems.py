@@ -42,7 +42,23 @@ latest AS (SELECT key, deleted_at FROM versions WHERE n = 1 AND key <> ''),
 judged AS (SELECT r.seq, r.exported_at, CASE WHEN l.key IS NULL THEN 'missing' WHEN l.deleted_at <= r.exported_at THEN 'deleted' END AS why
   FROM refs r LEFT JOIN latest l ON r.key = l.key WHERE r.key <> '')
 """
+
+
+def _packed(tab: str, rec_id: str, field: str, delimiters: str) -> str:
+    """Problem 4 in SQL: a field as a run of values, each with the delimiter behind it."""
+    text = f"coalesce({field}, '')"
+    runs = rf"""regexp_extract_all({text}, '(?s)(?: *"(?:[^"]|"")*" *|.*?)(?:{delimiters}|$)')"""
+    bare = f"regexp_replace(t, '(?:{delimiters})$', '')"
+    quoted = rf"""regexp_matches({bare}, '(?s)^ *"(?:[^"]|"")*" *$')"""
+    value = rf"""trim(CASE WHEN {quoted} THEN replace(regexp_extract({bare}, '(?s)^ *"(.*)" *$', 1), '""', '"') ELSE {bare} END, ' ')"""
+    listed = f"CASE WHEN trim({text}, ' ') LIKE '[%]' AND json_valid({text}) THEN list_transform(json_extract_string({text}, '$[*]'), lambda t: trim(coalesce(t, ''), ' ')) END"
+    values = f"list_filter(coalesce({listed}, list_transform({runs}, lambda t: {value})), lambda v: v <> '')"
+    split = f"SELECT rec_id, vals, unnest(range(1, len(vals) + 1)) AS k FROM (SELECT {rec_id} AS rec_id, {values} AS vals FROM {tab}) WHERE len(vals) > 1"
+    return f"SELECT '{tab}' AS tab, rec_id, CAST(k AS BIGINT) AS pos, vals[k] AS val FROM ({split})"
+
+
 SQL = {
+    "p4_found": _packed("playlist_tracks", "seq", "artist_names", "[,;|]| / ") + " UNION ALL " + _packed("spotify_manifest", "row_id", "playlist_names", "[;|]"),
     "p5_found": f"WITH {_REFS} SELECT seq FROM judged WHERE why IS NOT NULL",
     "p5_report": f"""WITH {_REFS} SELECT 'playlist_tracks' AS tab, strftime(exported_at, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n_refs,
   CAST(count(*) FILTER (WHERE why = 'missing') AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE why = 'deleted') AS BIGINT) AS n_deleted
