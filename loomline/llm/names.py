@@ -6,12 +6,14 @@ import functools
 import re
 import unicodedata
 
+import regex
+
 #: Short forms of given names, each beside the full form.
 NICKNAMES = """
 al:alexander alex:alexander alec:alexander sandy:alexander xander:alexander tony:anthony ant:anthony barb:barbara babs:barbara barbie:barbara
 chas:charles chuck:charles charlie:charles charley:charles deb:deborah debbie:deborah debby:deborah ed:edward eddie:edward eddy:edward ned:edward ted:edward
 liz:elizabeth lizzie:elizabeth beth:elizabeth betty:elizabeth betsy:elizabeth eliza:elizabeth libby:elizabeth bess:elizabeth lisa:elizabeth
-fred:frederick freddie:frederick freddy:frederick gerry:gerald jerry:gerald hal:harold harry:harold jim:james jimmy:james jimmie:james jamie:james
+fred:frederick fritz:frederick freddie:frederick freddy:frederick gerry:gerald jerry:gerald hal:harold harry:harold jim:james jimmy:james jimmie:james jamie:james
 joe:joseph joey:joseph judy:judith judie:judith jude:judith kate:katherine kathy:katherine katie:katherine kat:katherine kitty:katherine kay:katherine kit:katherine
 larry:lawrence lars:lawrence laurie:lawrence len:leonard lenny:leonard lennie:leonard leo:leonard maggie:margaret meg:margaret peggy:margaret peg:margaret margie:margaret marge:margaret madge:margaret
 mike:michael mick:michael mickey:michael micky:michael mikey:michael nat:nathaniel nate:nathaniel nathan:nathaniel
@@ -24,7 +26,7 @@ jenny:jennifer jen:jennifer becky:rebecca sally:sarah nancy:anne annie:anne cind
 """
 #: Short forms of what a band calls itself, and titles.
 SHORT_WORDS = """
-bros:brothers bro:brothers orch:orchestra ens:ensemble coll:collective 4tet:quartet qt:quartet qrt:quartet qtet:quartet quart:quartet 5tet:quintet ss:sound+system
+bros:brothers bro:brothers orch:orchestra ens:ensemble ensem:ensemble coll:collective collect:collective 4tet:quartet qt:quartet qrt:quartet qtet:quartet quart:quartet 5tet:quintet ss:sound+system
 doctor:dr deejay:dj mister:mr missus:mrs saint:st sys:system snd:sound emcee:mc
 """
 #: Words that do not tell acts apart by themselves.
@@ -35,7 +37,7 @@ COMPILATIONS = frozenset("va various variousartists variousartist variousperform
 COMPILATION = "\0various"
 
 _GUESTS = re.compile(r"\s*[\(\[]?\s*\b(?:feat|ft|featuring|with|vs)\b\.?\s+", re.IGNORECASE)
-_CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+_CAMEL = regex.compile(r"(?<=\p{Ll}\p{M}*)(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
 _EPITHET = re.compile(r"the|the \w+|son of \w+|daughter of \w+", re.IGNORECASE)
 _QUOTED = re.compile(r'["“”„].+?["“”]')
 _LIST = re.compile(r"\s*[;|]\s*")
