@@ -4,7 +4,7 @@
    readings of its act and title, from its tags and its path; files with equal readings and
    length are one node.
 2. Nodes are joined by rare shared attributes: the phonetic code of a word of the act beside
-   those of the two rarest words of the title. An edge weighs as much as its attributes are rare.
+   those of two of the rarest words of the title. An edge weighs as much as its attributes are rare.
 3. Meta-blocking drops edges that are weak against the best edges of both their nodes.
 4. Edges are compared: title words, version, names of acts, length. Then confidence spreads:
    an edge gains where other titles of the same two acts match too, until no edge changes.
@@ -27,7 +27,7 @@ from .plain_text import plain_batch
 from .titles import parse_title, same_title
 
 #: Share of a node's best edge weight below which an edge is dropped, if it is so at both ends.
-KEEP = 0.15
+KEEP = 0.05
 #: Confidence from which two records are one recording.
 ACCEPT = 0.55
 #: Seconds by which lengths of one recording may differ.
@@ -103,18 +103,28 @@ def _files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def attribute_keys(act: list[str], rarest: list[str]) -> set[str]:
-    """The attributes of one act and the (at most two) rarest words of one title."""
+    """The attributes of one act and the (at most three) rarest words of one title.
+
+    An attribute is the sound of a word of the act beside the sounds of two title words. Of
+    three title words each two are an attribute, and of one or two also every sound that lacks
+    a character: a title with one word mistyped still shares an attribute with the right one.
+    """
     main = [w for w in act if w not in COMMON_WORDS and len(w) > 1] or list(act)
     main = sorted(main, key=lambda w: (-len(w), w))[:3]
     sounds = {w: {phonetic(f) for f in full_forms(w)} for w in main}
     code = [phonetic(w) for w in rarest]
     if len(main) == 1:  # nothing else tells this act: its one word may hold a slip
         sounds[main[0]] |= shortened(phonetic(main[0]))
+    pair = lambda a, b: "&".join(sorted((a, b)))
+    exact = pair(*code[:2]) if len(code) > 1 else code[0]
+    lacking = lambda c: shortened(c) | ({*c, ""} if len(c) < 3 else set())  # noqa: E731 - also of a short sound
     if len(code) == 1:
-        code += sorted(shortened(code[0]) - {code[0]})
-        return {f"{s}|{c}" for w in main for s in sounds[w] for c in (code if w == main[0] else code[:1])}
-    both = "&".join(sorted(code))
-    return {f"{s}|{both}" for w in main for s in sounds[w]} | {f"{phonetic(w)}|{c}" for w in main if w == main[0] or len(w) > 7 for c in code}
+        near = shortened(code[0])
+    elif len(code) == 2:
+        near = {pair(v, code[1]) for v in lacking(code[0])} | {pair(code[0], v) for v in lacking(code[1])}
+    else:
+        near = {pair(x, y) for i, x in enumerate(code) for y in code[i + 1 :]}
+    return {f"{s}|{exact}" for w in main for s in sounds[w]} | {f"{phonetic(w)}|{c}" for w in main if w == main[0] or len(w) > 7 for c in near}
 
 
 def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +134,7 @@ def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found: set[str] = set()
             for title in readings:
                 order = sorted(zip(title["df"], title["words"], strict=True))
-                rarest = [w for _, w in dict.fromkeys(order)][:2]
+                rarest = [w for _, w in dict.fromkeys(order)][:3]
                 for act in who:
                     found |= attribute_keys(list(act), rarest)
             keys.append(sorted(found))
