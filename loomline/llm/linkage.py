@@ -256,8 +256,7 @@ def recordings(
         f_nodes.select(F.lit("f").alias("side"), "node", "acts", "titles")
     )
     full = cut_lineage(_with_frequencies(both))
-    keys = cut_lineage(full.select("node", "acts", "titles", "side").groupBy("side", "node").agg(F.first("acts").alias("acts"), F.first("titles").alias("titles")).repartition("node"))
-    tagged = lambda side: keys.filter(F.col("side") == side).select("node", "acts", "titles").mapInPandas(_keyed, "node string, keys array<string>")
+    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(_keyed, "node string, keys array<string>")
     edges = _candidates(cut_lineage(tagged("t")), cut_lineage(tagged("f")))
     left = full.filter("side = 't'").select(F.col("node").alias("track_node"), F.col("acts").alias("t_act"), F.col("titles").alias("t_titles"))
     left = left.join(t_nodes.select(F.col("node").alias("track_node"), "low", "high", F.array_join("act", " ").alias("t_name")), "track_node")
