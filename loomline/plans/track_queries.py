@@ -32,11 +32,11 @@ def q_match_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_match_summary(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_summary(matching.match_rows(_tracks(spark, d), table(spark, d, "library"), fuzzy=False))
+    return matching.match_summary(matching.match_rows(_tracks(spark, d), table(spark, d, "library")))
 
 
 def q_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library"), fuzzy=False).filter(F.col("file_id").isNull())
+    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library")).filter(F.col("file_id").isNull())
     return rows.select("seq", "tier").join(_tracks(spark, d).select("seq", "playlist_name", "track_name", "artist_names", "spotify_url"), "seq")
 
 
@@ -68,7 +68,7 @@ def q_playlist_upsert(spark: SparkSession, d: str) -> DataFrame:
 def q_m3u_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines of every playlist file, one row per line, in order of (seq, part)."""
     files = table(spark, d, "library").select("file_id", "artist", "title", "length", F.col("path").alias("file_path"))
-    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library"), fuzzy=False).filter("file_id is not null").drop("path").join(files, "file_id")
+    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library")).filter("file_id is not null").drop("path").join(files, "file_id")
     info = F.concat(F.lit("#EXTINF:"), T.ext_seconds(F.col("length")).cast("string"), F.lit(","), T.entry_label(F.col("artist"), F.col("title")))
     track = F.when(F.trim("track_id") != "", F.concat(F.lit("#SPOTIFY:"), F.trim("track_id")))
     path = T.relative_path(F.col("file_path"), F.lit("playlists"))

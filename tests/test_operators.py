@@ -227,3 +227,40 @@ def test_small_picks(spark):
     entries = spark.createDataFrame([("p1", "Mix", "a"), ("p1", "Mix", "b"), ("p2", "mix!", "c")], "playlist string, name string, path string")
     found = resolve.resolve_playlists(spark.createDataFrame([("MIX",)], "spec string"), entries, spark.createDataFrame([("a",)], "path string"))
     assert {(r.playlist, r.path, r.exists) for r in found.collect()} == {("p1", "a", True), ("p1", "b", False), ("p2", "c", False)}
+
+
+def model_match(row, library):
+    """The file of one row by loops: equal title and act, else the likest title with the same four first letters."""
+    key = lambda s: "".join(c for c in (s or "").lower() if c.isalnum())
+    _, _, _, _, title, artist, _, ms, *_ = row
+    nt, want = key(title), ms / 1000
+    same = [f for f in library if key(f[5]) == nt and key(f[1]) == key(artist)]
+    if same:
+        return min(same, key=lambda f: (bool(want) and abs(f[7] - want) > 5, abs(f[7] - want) if want else 0, f[0]))[0]
+    best, best_ratio = None, 0.0
+    for f in library:
+        if key(f[5])[:4] != nt[:4] or (want and f[7] and abs(f[7] - want) > 3):
+            continue
+        ratio = SequenceMatcher(None, key(f[5]), nt).ratio()
+        if ratio > best_ratio:
+            best, best_ratio = f[0], ratio
+    return best if best_ratio >= 0.92 else None
+
+
+def test_summary_unmatched_and_lines_know_the_fuzzy_tier(spark, tmp_path):
+    from loomline.plans import track_queries
+
+    library = [(i, a, None, "", "1", t, f"albums/{i}.mp3", n) for i, (a, t, n) in enumerate([("Ann", "Night Drive Home", 100.0), ("Bob", "Night Drive Homes", 102.0), ("Cy", "Silver Lantern", 0.0), ("Dan", "Grey", 60.0)])]
+    titles = [("Night Drive Home", "Ann", 0), ("Night Drive Homme", "Zed", 101_000), ("Night Drive Homess", "Zed", 0), ("Silver Lanterns", "Zed", 9_000), ("Silver Lanterns", "Cy", 0), ("Night Drive Homme", "Zed", 200_000), ("Grex", "Dan", 0), ("Golden", "Dan", 0)]
+    rows = [track(i, f"p{i % 2}", "P", f"t{i}", t, a, ms=n) for i, (t, a, n) in enumerate(titles)]
+    spark.createDataFrame(rows, TRACK).write.parquet(str(tmp_path / "playlist_tracks.parquet"))
+    spark.createDataFrame(library, LIBRARY).write.parquet(str(tmp_path / "library.parquet"))
+    want = {r[0]: model_match(r, library) for r in rows}
+    assert sum(f is not None for f in want.values()) == 5
+    d = str(tmp_path)
+    assert {r.seq for r in track_queries.q_unmatched(spark, d).collect()} == {s for s, f in want.items() if f is None}
+    total = {r.playlist_id: (r.n_rows, r.n_matched) for r in track_queries.q_match_summary(spark, d).collect()}
+    count = lambda p: (sum(p(s) for s in want), sum(f is not None for s, f in want.items() if p(s)))
+    assert total == {"p0": count(lambda s: s % 2 == 0), "p1": count(lambda s: s % 2 == 1), None: count(lambda s: True)}
+    paths = {r.seq: r.line for r in track_queries.q_m3u_lines(spark, d).filter("part = 2").collect()}
+    assert paths == {s: f"../albums/{f}.mp3" for s, f in want.items() if f is not None}
