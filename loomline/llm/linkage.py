@@ -7,11 +7,12 @@
    those of two of the rarest words of the title. An edge weighs as much as its attributes are rare.
 3. Meta-blocking drops edges that are weak against the best edges of both their nodes.
 4. Edges are compared: title words, version, names of acts, length. Then confidence spreads:
-   an edge gains where other titles of the same two acts match too, until no edge changes.
+   an edge gains where other titles of the same two acts match too, until no confidence grows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ ACCEPT = 0.55
 SECONDS = 4.0
 #: What a pair of acts can gain from other matched titles.
 CONTEXT = 0.8
-#: Rounds of spreading after which it ends in any case; values only grow, by less each round.
-MOST_ROUNDS = 10
+#: Gain of two acts in a round, over all their titles, below which their confidences are stable.
+STABLE = 1e-6
 #: Rows of one side of an attribute that meet the other side in one task.
 BLOCK = 2000
 
@@ -204,27 +205,29 @@ def spread(edges: DataFrame) -> DataFrame:
     """``edges`` (track_node, file_node, t_name, f_name, title, name) with their ``confidence``.
 
     confidence = title * (name + (1 - name) * CONTEXT * s / (1 + s)), where s sums the best
-    confidences of the other titles that the two acts share. Each round uses the last one's;
-    values only grow, and rounds end when the accepted edges stay the same.
+    confidences of the other titles that the two acts share. Each round uses the last one's.
+    Values only grow and are bounded. Two acts are done when the sum over their titles, and so
+    every confidence, gains less than STABLE; they depend on no other acts, and rounds go on
+    with the rest.
     """
     acts_key = ["t_name", "f_name"]
-    now = cut_lineage(edges.withColumn("confidence", F.col("title") * F.col("name")))
-    before = None
-    for _ in range(MOST_ROUNDS):
-        state = now.filter(F.col("confidence") >= ACCEPT).agg(F.count("*"), F.sum(F.xxhash64("track_node", "file_node").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        per_title = now.groupBy(*acts_key, "t_title").agg(F.max("confidence").alias("own"))
+    now = cut_lineage(edges.withColumns({"confidence": F.col("title") * F.col("name"), "before": F.lit(0.0)}))
+    # without a second title of the two acts nothing can grow
+    wide = now.groupBy(*acts_key).agg(F.count_distinct("t_title").alias("n")).filter("n > 1").select(*acts_key)
+    done = [now.join(wide, acts_key, "left_anti").select(*edges.columns, "confidence")]
+    now = cut_lineage(now.join(wide, acts_key, "left_semi"))
+    while not now.isEmpty():
         # titles that match without any likeness of the names count a little: they are what names alone cannot show
-        hint = now.groupBy(*acts_key, "t_title").agg(F.max("title").alias("hint"))
-        per_title = per_title.join(hint, [*acts_key, "t_title"]).withColumn("own", F.greatest("own", F.col("hint") * 0.4))
+        per_title = now.groupBy(*acts_key, "t_title").agg(F.greatest(F.max("confidence"), F.max("title") * 0.4).alias("own"))
         sums = per_title.groupBy(*acts_key).agg(F.sum("own").alias("all"))
-        context = per_title.join(sums, acts_key).select(*acts_key, "t_title", F.greatest(F.col("all") - F.col("own"), F.lit(0.0)).alias("s"))
+        context = per_title.join(sums, acts_key).select(*acts_key, "t_title", "all", F.greatest(F.col("all") - F.col("own"), F.lit(0.0)).alias("s"))
         nxt = now.drop("confidence").join(context, [*acts_key, "t_title"])
         gained = F.col("name") + (1 - F.col("name")) * CONTEXT * F.col("s") / (1 + F.col("s"))
-        now = cut_lineage(nxt.withColumn("confidence", F.col("title") * gained).drop("s"))
-    return now
+        moving = F.col("all") - F.col("before") >= STABLE
+        nxt = cut_lineage(nxt.select(*edges.columns, (F.col("title") * gained).alias("confidence"), F.col("all").alias("before"), moving.alias("moving")))
+        done.append(nxt.filter(~F.col("moving")).select(*edges.columns, "confidence"))
+        now = nxt.filter("moving").drop("moving")
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def recordings(

@@ -68,6 +68,23 @@ def test_confidence_spreads_from_other_titles(spark):
     assert got["a|x|"] > linkage.ACCEPT > got["c|x|"] and got["a|t0|"] > 0.95
 
 
+
+@pytest.mark.parametrize(("n", "title", "likely"), [(6, 1.0, True), (7, 0.92, True), (4, 1.0, False)])
+def test_confidence_grows_until_stable(spark, n, title, likely):
+    edges = [(f"a|t{i}|", f"f{i}", "a", "b", title, 0.0, f"t{i}") for i in range(n)] + [("c|x|", "fx", "c", "b", 0.9, 0.5, "x")]
+    schema = "track_node string, file_node string, t_name string, f_name string, title double, name double, t_title string"
+    want = 0.0
+    for _ in range(500):
+        s = (n - 1) * max(want, 0.4 * title)
+        want = title * linkage.CONTEXT * s / (1 + s)
+    assert (want >= linkage.ACCEPT) == likely
+    apart = [("d|u|", "fu", "d", "e", 1.0, 1.0, "u"), ("d|v|", "fv", "d", "e", 0.7, 0.7, "v")]  # acts that have nothing to do with them
+    for rows in (edges, edges + apart):
+        got = {r.track_node: r.confidence for r in linkage.spread(spark.createDataFrame(rows, schema)).collect()}
+        assert len(got) == len(rows) and got["c|x|"] == 0.45
+        assert all(got[f"a|t{i}|"] == pytest.approx(want, abs=1e-5) for i in range(n))
+
+
 def day(n):
     return datetime(2024, 1, n)
 
