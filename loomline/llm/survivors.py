@@ -3,9 +3,9 @@
 Rows are grouped by connected components over equal ids and equal (first act, title). Each
 field then comes from the row that deserves most trust for it. Where that is the latest row,
 rows without a timestamp are placed by currency reasoning: from groups with timestamps it is
-learned which states of a value tend to come before which; a row without one stands after
-every dated row of its group whose state comes before its own, and the topologically latest
-row wins.
+learned which states of a value tend to come before which, directly or through other states; a
+row without one stands after every dated row of its group whose state comes before its own,
+rows without a time stand in topological order, and the latest row wins.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def precedence(rows: DataFrame) -> DataFrame:
-    """(earlier, later): states of which the first comes before the second in more groups than after.
+    """(earlier, later, margin): states of which the first comes before the second in more groups than after.
 
     ``rows`` has component, state, at; states take few different values, times may be null.
     """
@@ -61,24 +61,46 @@ def precedence(rows: DataFrame) -> DataFrame:
     other = seen.select("component", F.col("state").alias("later"), F.col("first").alias("second"))
     steps = seen.join(other, "component").filter(F.col("first") < F.col("second")).groupBy(F.col("state").alias("earlier"), "later").agg(F.count("*").alias("n"))
     back = steps.select(F.col("earlier").alias("later"), F.col("later").alias("earlier"), F.col("n").alias("m"))
-    return steps.join(back, ["earlier", "later"], "left").filter(F.col("n") > F.coalesce("m", F.lit(0))).select("earlier", "later")
+    margin = (F.col("n") - F.coalesce("m", F.lit(0))).alias("margin")
+    return steps.join(back, ["earlier", "later"], "left").select("earlier", "later", margin).filter("margin > 0")
+
+
+def closed(learned: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
+    """The transitive closure of (earlier, later, margin), a partial order.
+
+    Pairs count by falling margin; one that contradicts the order of those before it is left out.
+    """
+    order: set[tuple[str, str]] = set()
+    for earlier, later, _ in sorted(learned, key=lambda x: (-x[2], x[0], x[1])):
+        if (later, earlier) not in order:
+            before = {earlier} | {a for a, b in order if b == earlier}
+            after = {later} | {b for a, b in order if a == later}
+            order |= {(a, b) for a in before for b in after}
+    return order
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """``rows`` (component, state, at, ...) with ``currency``, by which later rows come last.
 
     A dated row has its time. A row without stands right behind the latest dated row whose
-    state precedes its own; before all others if there is none.
+    state precedes its own; before all others if there is none. Of rows without a time at one
+    place, those with more states before their own, among such rows of the group, come later:
+    a topological order. States without a learned order stand alike.
     """
-    learned = precedence(rows)
+    pairs = [tuple(r) for r in precedence(rows).collect()]  # states are few
+    order = rows.sparkSession.createDataFrame(sorted(closed(pairs)), "earlier string, later string")
     last = rows.filter(F.col("at").isNotNull() & F.col("state").isNotNull()).groupBy("component", "state").agg(F.max("at").alias("last"))
-    undated = rows.filter(F.col("at").isNull()).select("component", F.col("state").alias("later")).distinct()
-    behind = undated.join(learned, "later").join(last.withColumnRenamed("state", "earlier"), ["component", "earlier"])
-    behind = behind.groupBy("component", F.col("later").alias("state")).agg(F.max("last").alias("behind"))
+    undated = rows.filter(F.col("at").isNull() & F.col("state").isNotNull()).select("component", "state").distinct()
+    # per undated state of a group the states before it, with their last time if they have one there and whether a row without stands there
+    here = last.withColumn("undated", F.lit(0)).unionByName(undated.withColumns({"last": F.lit(None).cast(last.schema["last"].dataType), "undated": F.lit(1)}))
+    earlier = here.groupBy("component", F.col("state").alias("earlier")).agg(F.max("last").alias("last"), F.max("undated").alias("undated"))
+    behind = undated.withColumnRenamed("state", "later").join(order, "later").join(earlier, ["component", "earlier"])
+    behind = behind.groupBy("component", F.col("later").alias("state")).agg(F.max("last").alias("behind"), F.sum("undated").cast("int").alias("rank"))
     joined = rows.join(behind, ["component", "state"], "left")
     undated_row = F.col("at").isNull()
     when = F.when(undated_row, F.col("behind")).otherwise(F.col("at"))
-    return joined.withColumn("currency", F.struct(when.alias("at"), undated_row.cast("int").alias("behind"))).drop("behind")
+    place = F.when(undated_row, F.coalesce("rank", F.lit(0)) + 1).otherwise(0)
+    return joined.withColumn("currency", F.struct(when.alias("at"), place.alias("behind"))).drop("behind", "rank")
 
 
 def value_state(url: Column, track: Column, score: Column) -> Column:

@@ -119,3 +119,28 @@ def test_currency_places_rows_without_time(spark):
     got = {(r.component, r.state): tuple(r.currency) for r in survivors.placed(df).filter("component in ('h', 'k', 'z')").collect()}
     assert got[("h", "new")] == (day(3), 1) and got[("k", "old")] == (None, 1) and got[("k", "never seen")] == (None, 1) and got[("h", "old")] == (day(3), 0)
     assert survivors.placed(df).count() == len(rows)
+
+
+def test_closed_order():
+    assert survivors.closed([("a", "b", 3), ("b", "c", 2), ("c", "d", 1)]) == {("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("b", "d"), ("a", "d")}
+    assert survivors.closed([("c", "a", 1), ("a", "b", 3), ("b", "c", 2)]) == {("a", "b"), ("b", "c"), ("a", "c")} and survivors.closed([]) == set()
+
+
+def test_currency_orders_rows_without_time_among_themselves(spark):
+    # learned: old before mid, mid before new; old and new never stand together
+    rows = [(f"g{i}", s, day(k + 1)) for i in range(4) for k, s in enumerate([("old", "mid"), ("mid", "new")][i % 2])]
+    rows += [("none", "new", None), ("none", "old", None), ("none", "mid", None), ("two", "old", day(9)), ("two", "new", None), ("two", "mid", None), ("far", "old", day(9)), ("far", "new", None)]
+    df = spark.createDataFrame(rows, "component string, state string, at timestamp")
+    got = {(r.component, r.state): r.currency for r in survivors.placed(df).collect() if r.component[0] != "g"}
+    assert sorted(("old", "mid", "new"), key=lambda s: got["none", s].behind) == ["old", "mid", "new"] and len({got["none", s].behind for s in ("old", "mid", "new")}) == 3
+    assert got["two", "new"].at == got["two", "mid"].at == day(9) and got["two", "new"].behind > got["two", "mid"].behind > got["two", "old"].behind
+    assert got["far", "new"].at == day(9)
+
+
+def test_best_record_of_a_group_without_time(spark):
+    # in dated groups a link with a score comes before one without; the undated group's keeper has no link
+    rows = [(i, f"d{i // 2}", "Pale Owl", f"Act{i // 2} Lee", 50 if i % 2 == 0 else None, f"x:d{i // 2}", day(1 + i % 2)) for i in range(4)]
+    rows += [(10, "u", "Iron River", "Bob Ray", 5, "x:u", None), (11, "u", "Iron River", "Bob Ray", None, "y:u", None), (12, "w", "Iron River", "Bob Ray", 9, "n/a", None)]
+    df = spark.createDataFrame(rows, "row_id long, track_id string, t string, a string, p int, u string, at timestamp")
+    got = {r.first_id: r for r in survivors.best_records(df, "row_id", "track_id", "t", "a", "p", "u", "at").collect()}
+    assert (got[10].keeper_id, got[10].url_id, got[10].spotify_url) == (12, 11, "y:u")
