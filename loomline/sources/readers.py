@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import text as T
 from ..operators.ordering import first_seen
 
+#: Characters of the header from which the separator is guessed.
 SNIFFED = 1024
 
 
@@ -39,9 +40,9 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 def sniffed(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     """The separator and the stripped header names of a CSV file, from its first line."""
     line = spark.read.text(path, wholetext=False).limit(1).collect()
-    head = line[0][0][:SNIFFED] if line else ""
+    head = line[0][0] if line else ""
     try:
-        sep = csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
+        sep = csv.Sniffer().sniff(head[:SNIFFED], delimiters=",;\t|").delimiter
     except csv.Error:
         sep = ","
     return sep, [name.strip().lstrip("﻿") for name in next(csv.reader([head], delimiter=sep), [])]

@@ -34,6 +34,16 @@ def test_metadata_and_urls(spark, tmp_path):
     assert open(only_file(tmp_path / "w", ".txt")).read() == "u1\n"
 
 
+
+def test_a_long_header_keeps_its_last_columns(spark, tmp_path):
+    extra = [f"a long column name {i}" for i in range(80)]
+    path = str(tmp_path / "long.csv")
+    with open(path, "w") as f:
+        f.write(",".join([*extra, "track_name", "artist_names", "spotify_url"]) + "\n" + ",".join(["x"] * 80 + ["One", "A", "u1"]) + "\n")
+    assert {tuple(r) for r in readers.read_metadata(spark, [path]).collect()} == {("u1", "A", "One", "")}
+    assert [r.url for r in readers.read_urls(spark, path).collect()] == ["u1"]
+
+
 def test_logs_and_catalog(spark, tmp_path):
     log = spark.createDataFrame([("u1", "LookupError"), ("u2", "")], "url string, reason string")
     writers.append_log(log, str(tmp_path / "soft"))
