@@ -68,7 +68,7 @@ def explode_values(df: DataFrame, tab: str, rec_id: str, field: str, delimiters:
     Null, blank and single-valued fields give no row; repeated rows each give their own; other
     columns of ``df``, whatever their names, are not read.
     """
-    packed = df.select(F.col(rec_id).alias("rec_id"), F.col(field).alias("field")).filter(F.col("field").rlike(r"[,;|/\[]"))
+    packed = df.select(F.col(rec_id).alias("rec_id"), F.col(field).alias("field")).filter(F.col("field").rlike(rf"{delimiters}|\["))
     held = packed.select("rec_id", split_values(F.col("field"), delimiters).alias("values")).filter(F.size("values") >= 2)
     return held.select(
         F.lit(tab).alias("tab"), "rec_id", F.posexplode("values").alias("at", "val")

@@ -82,6 +82,13 @@ def test_split_values_like_brute_force(spark, slash):
         assert [p for p, _ in sorted(found.get(i, []))] == list(range(1, len(got) + 1))
 
 
+
+def test_explode_values_of_other_delimiters(spark):
+    rows = spark.createDataFrame([(1, "a\tb"), (2, "a+b"), (3, "a\nb"), (4, '["a", "b"]'), (5, "a, b"), (6, '"a+b"')], "rec_id long, f string")
+    got = {(r.rec_id, r.pos, r.val) for r in multivalue.explode_values(rows, "t", "rec_id", "f", "[\t+\n]").collect()}
+    assert got == {(i, p, v) for i in (1, 2, 3, 4) for p, v in ((1, "a"), (2, "b"))}
+
+
 def test_split_values_of_random_fields(spark):
     seen = []
 
