@@ -20,6 +20,8 @@ from ..sources.tables import cut_lineage
 # Tiers and the least likeness of the fuzzy tier.
 TIERS = {1: "title+primary", 2: "title+artist", 3: "title+album", 4: "core-title", 5: "fuzzy", 6: "raw-title", 7: "album+track"}
 LEAST_RATIO = 0.92
+#: Letters of the runs by which like titles meet, and titles of one run that one task holds of a side.
+GRAM, BLOCK = 3, 2000
 QUERY = ["track_name", "artist_names", "album_name", "duration_ms", "track_number"]
 
 
@@ -101,17 +103,51 @@ def _ratios(local: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _grams(rest: Column) -> Column:
+    """The runs of GRAM characters of ``rest`` with marked ends, in order; the n-th equal one is numbered n."""
+    ends = "#" * (GRAM - 1)
+    text = F.concat(F.lit(ends), rest, F.lit(ends))
+    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(rest) + GRAM - 1), lambda i: F.substring(text, i, F.lit(GRAM))))
+    return F.transform(runs, lambda g, i: F.concat(g, (i + 1 - F.array_position(runs, g)).cast("string")))
+
+
+def like_titles(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(q_nt, c_nt) of the distinct titles that can reach LEAST_RATIO; with equal first four letters.
+
+    Titles of ratio r differ by at most (1 - r) of their joint length in insertions and
+    deletions, which is D = 4/23 of one title's length for 0.92, and each of these touches GRAM
+    runs of letters. So two such titles share one of their GRAM * D + 1 rarest runs, whatever
+    the order, and are met there and nowhere else; a title too short for any difference is met
+    as a whole. The first four letters, which all titles of a prefix have, are in no run. Runs
+    that many titles have are grids of tasks.
+    """
+    titles = mine.select(F.lit(0).alias("side"), F.col("q_nt").alias("nt")).unionByName(theirs.select(F.lit(1).alias("side"), F.col("c_nt").alias("nt")))
+    most = F.floor(F.length("nt") * 4 / 23)
+    rest = F.expr("substring(nt, 5)")
+    runs = F.when(most == 0, F.array(F.concat(F.lit("="), rest))).otherwise(_grams(rest))
+    long = titles.select("side", "nt", T.prefix4(F.col("nt")).alias("prefix"), F.explode(runs).alias("run"))
+    counts = long.groupBy("prefix", "run").agg(F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right"))
+    met = F.struct((F.col("n_left") * F.col("n_right")).alias("cost"), "run", "n_left", "n_right")
+    per_title = long.join(counts, ["prefix", "run"]).groupBy("side", "nt", "prefix").agg(F.array_sort(F.collect_list(met)).alias("runs"))
+    rarest = cut_lineage(per_title.select("side", "nt", "prefix", F.explode(F.slice("runs", F.lit(1), (GRAM * most + 1).cast("int"))).alias("r")).filter("r.cost > 0"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    placed = rarest.select("side", "nt", "prefix", "r.run", parts("r.n_left").alias("rows"), parts("r.n_right").alias("columns"))
+    own = lambda n: F.pmod(F.xxhash64("nt"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("side = 0").select("prefix", "run", F.col("nt").alias("q_nt"), own("rows").alias("row"), every("columns").alias("column"))
+    right = placed.filter("side = 1").select("prefix", "run", F.col("nt").alias("c_nt"), own("columns").alias("column"), every("rows").alias("row"))
+    a, b = F.length("q_nt"), F.length("c_nt")
+    pairs = left.join(right, ["prefix", "run", "row", "column"]).filter(2 * F.least(a, b) >= LEAST_RATIO * (a + b))
+    return pairs.select("q_nt", "c_nt").distinct()
+
+
 def fuzzy_matches(q: DataFrame, c: DataFrame) -> DataFrame:
     """(query, tier, seq, path): titles with the same first four letters and a like spelling.
 
-    Distinct titles are compared, not rows; the length bound holds for every pair that can
-    reach the ratio.
+    Distinct titles are compared, not rows, and only those that share a rare run of letters.
     """
     ratio = F.pandas_udf(_ratios, "double")
-    mine = q.filter("nt <> '' and not empty").select(F.col("nt").alias("q_nt")).distinct().withColumn("prefix", T.prefix4(F.col("q_nt")))
-    theirs = c.filter("nt <> ''").select(F.col("nt").alias("c_nt")).distinct().withColumn("prefix", T.prefix4(F.col("c_nt")))
-    a, b = F.length("q_nt"), F.length("c_nt")
-    pairs = mine.join(theirs, "prefix").filter(2 * F.least(a, b) >= LEAST_RATIO * (a + b))
+    pairs = like_titles(q.filter("nt <> '' and not empty").select(F.col("nt").alias("q_nt")).distinct(), c.filter("nt <> ''").select(F.col("nt").alias("c_nt")).distinct())
     like = pairs.withColumn("ratio", ratio("c_nt", "q_nt")).filter(F.col("ratio") >= LEAST_RATIO).select("q_nt", "c_nt", "ratio")
     rows = q.filter("not empty").join(like, F.col("nt") == F.col("q_nt")).drop("nt", "core", "raw").join(c.drop("core", "raw"), F.col("c_nt") == c["nt"])
     near = rows.filter(T.duration_ok(F.col("want"), F.col("length"), 3))
@@ -131,7 +167,7 @@ def match_rows(tracks: DataFrame, library: DataFrame, fuzzy: bool = True) -> Dat
     q, c = cut_lineage(queries(rows)), cut_lineage(catalog(library))  # each is read by every tier
     found = cut_lineage(exact_matches(q, c))
     if fuzzy:
-        found = found.unionByName(fuzzy_matches(q.join(found, "query", "left_anti"), c))
+        found = found.unionByName(fuzzy_matches(cut_lineage(q.join(found, "query", "left_anti")), c))
     empty = q.filter("empty").select("query", F.lit(True).alias("empty"))
     out = keyed.join(found, "query", "left").join(empty, "query", "left")
     label = F.coalesce(*[F.when(F.col("tier") == k, v) for k, v in TIERS.items()], F.when(F.col("empty"), "local-no-meta"), F.lit("unmatched"))

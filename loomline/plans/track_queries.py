@@ -89,7 +89,7 @@ lists AS (SELECT f.track_id, coalesce(string_agg(nullif(pname, ''), '; ' ORDER B
   CAST(count(nullif(pname, '')) AS INTEGER) AS playlist_count FROM names n JOIN firsts f ON n.track_id = f.track_id WHERE pname <> '' OR seq = first_seq GROUP BY 1),
 ids AS (SELECT f.track_id, {_KEPT}, playlist_names, playlist_ids, playlist_count, first_seq FROM firsts f JOIN lists l ON f.track_id = l.track_id)"""
 
-_MATCH = f"""q AS (SELECT seq, coalesce(playlist_id, '') AS playlist_id, coalesce(track_id, '') AS track_id, {S.norm_key('track_name')} AS nt, {S.norm_key(S.core_title('track_name'))} AS core0, {S.raw_key('track_name')} AS raw,
+_HEADS = f"""q AS (SELECT seq, coalesce(playlist_id, '') AS playlist_id, coalesce(track_id, '') AS track_id, {S.norm_key('track_name')} AS nt, {S.norm_key(S.core_title('track_name'))} AS core0, {S.raw_key('track_name')} AS raw,
   list_transform({S.split_artists('artist_names')}, lambda a: {S.norm_key('a')}) AS artists, {S.norm_key(f"coalesce(({S.split_artists('artist_names')})[1], '')")} AS prim,
   {S.norm_key('album_name')} AS album, track_number AS track, coalesce(CAST(duration_ms AS DOUBLE), 0) / 1000 AS want,
   (coalesce(track_name, '') = '' AND coalesce(artist_names, '') = '') AS no_names FROM playlist_tracks),
@@ -97,7 +97,8 @@ c AS (SELECT file_id, path, {S.norm_key('title')} AS nt, {S.norm_key(S.core_titl
   list_filter(list_transform(list_concat({S.split_artists('artist')}, {S.split_artists('albumartist')}), lambda a: {S.norm_key('a')}), lambda a: a <> '') AS c_artists,
   {S.norm_key(f"coalesce(({S.split_artists("CASE WHEN coalesce(artist, '') <> '' THEN artist ELSE albumartist END")})[1], '')")} AS c_prim, coalesce(length, 0) AS length FROM library),
 heads AS (SELECT q.*, CASE WHEN core0 <> '' THEN core0 ELSE nt END AS core FROM q WHERE NOT no_names),
-found AS (
+"""
+_EXACT = """
   SELECT seq, tier, file_id, CASE WHEN want = 0 OR length = 0 OR abs(length - want) <= (CASE tier WHEN 3 THEN 3 ELSE 5 END) THEN 0 ELSE 1 END AS outside, CASE WHEN want = 0 THEN 0 ELSE abs(length - want) END AS gap FROM (
     SELECT h.seq, h.want, c.length, c.file_id, CASE WHEN prim <> '' AND (list_contains(c_artists, prim) OR prim = c_prim OR list_contains(artists, c_prim)) THEN 1
       WHEN list_has_any(artists, c_artists) THEN 2 WHEN album <> '' AND album = c_album THEN 3 END AS tier
@@ -107,11 +108,26 @@ found AS (
   UNION ALL SELECT h.seq, 6, c.file_id, 0, CASE WHEN want = 0 THEN 0 ELSE abs(length - want) END
     FROM heads h JOIN c ON h.raw = c.raw WHERE h.nt = '' AND h.raw <> '' AND ((len(artists) > 0 AND (list_has_any(artists, c_artists) OR prim = c_prim)) OR (album <> '' AND album = c_album))
   UNION ALL SELECT h.seq, 7, c.file_id, 0, CASE WHEN want = 0 THEN 0 ELSE abs(length - want) END
-    FROM heads h JOIN c ON h.album = c.c_album AND h.track = c.c_track WHERE h.nt = '' AND album <> '' AND (want = 0 OR length = 0 OR abs(want - length) <= 5)),
-best AS (SELECT seq, tier, file_id FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY tier, outside, gap, file_id) AS n FROM found) WHERE n = 1),
+    FROM heads h JOIN c ON h.album = c.c_album AND h.track = c.c_track WHERE h.nt = '' AND album <> '' AND (want = 0 OR length = 0 OR abs(want - length) <= 5)
+"""
+# The matching-blocks ratio: the longest run that both titles have, the first in the catalogue's
+# title and then in the other, is a block; what stands before and behind it is compared alike.
+_LONGEST = """list_filter(flatten(list_transform(range(least(length(s), length(t)), 0, -1), lambda n: list_transform(range(1, length(s) - n + 2), lambda i: {'n': n, 'i': i}))),
+  lambda x: contains(t, substring(s, x.i, x.n)))[1]"""
+_FUZZY = f"""pairs AS (SELECT x.nt AS s, y.nt AS t FROM (SELECT DISTINCT nt FROM c WHERE nt <> '') x JOIN (SELECT DISTINCT nt FROM heads WHERE nt <> '') y ON left(x.nt, 4) = left(y.nt, 4)
+  WHERE 2 * least(length(x.nt), length(y.nt)) >= 0.92 * (length(x.nt) + length(y.nt))),
+blocks AS (SELECT s AS s0, t AS t0, s, t, CAST(0 AS BIGINT) AS m FROM pairs UNION ALL
+  SELECT s0, t0, unnest([left(s, b.i - 1), substring(s, b.i + b.n)]), unnest([left(t, strpos(t, substring(s, b.i, b.n)) - 1), substring(t, strpos(t, substring(s, b.i, b.n)) + b.n)]), unnest([b.n, 0])
+  FROM (SELECT s0, t0, s, t, {_LONGEST} AS b FROM blocks WHERE s <> '' AND t <> '') WHERE b IS NOT NULL),
+ratios AS (SELECT s0, t0, 2.0::DOUBLE * sum(m) / (length(s0) + length(t0)) AS ratio FROM blocks GROUP BY s0, t0),
+fuzzy AS (SELECT h.seq, 5 AS tier, c.file_id, 0 AS outside, -ratio AS gap FROM heads h JOIN ratios ON h.nt = t0 AND ratio >= 0.92 JOIN c ON c.nt = s0 WHERE want = 0 OR length = 0 OR abs(want - length) <= 3),
+"""
+_BEST = """best AS (SELECT seq, tier, file_id FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY tier, outside, gap, file_id) AS n FROM found) WHERE n = 1),
 reps AS (SELECT seq, playlist_id, track_id, no_names, CASE WHEN track_id <> '' THEN min(seq) OVER (PARTITION BY playlist_id, track_id) ELSE seq END AS rep FROM q),
-matches AS (SELECT r.seq, r.playlist_id, r.track_id, CASE b.tier WHEN 1 THEN 'title+primary' WHEN 2 THEN 'title+artist' WHEN 3 THEN 'title+album' WHEN 4 THEN 'core-title' WHEN 6 THEN 'raw-title' WHEN 7 THEN 'album+track'
+matches AS (SELECT r.seq, r.playlist_id, r.track_id, CASE b.tier WHEN 1 THEN 'title+primary' WHEN 2 THEN 'title+artist' WHEN 3 THEN 'title+album' WHEN 4 THEN 'core-title' WHEN 5 THEN 'fuzzy' WHEN 6 THEN 'raw-title' WHEN 7 THEN 'album+track'
   ELSE CASE WHEN h.no_names THEN 'local-no-meta' ELSE 'unmatched' END END AS tier, b.file_id FROM reps r JOIN q h ON r.rep = h.seq LEFT JOIN best b ON r.rep = b.seq)"""
+_MATCH = f"{_HEADS}found AS ({_EXACT}), {_BEST}"
+_CASCADE = f"RECURSIVE {_HEADS}{_FUZZY}found AS ({_EXACT} UNION ALL SELECT * FROM fuzzy), {_BEST}"
 
 SQL = {
     "q_id_dedup": f"WITH {_ID} SELECT * FROM ids",
@@ -122,9 +138,10 @@ united AS (SELECT key, array_to_string(list_sort(list_distinct(list_filter(flatt
 SELECT track_id, track_name, artist_names, album_name, duration_ms, popularity, spotify_url, CASE WHEN m > 1 THEN names ELSE playlist_names END AS playlist_names, playlist_ids,
   CAST(CASE WHEN m > 1 THEN k ELSE playlist_count END AS INTEGER) AS playlist_count, slot, lower(coalesce(track_name, '')) AS sort_title FROM ranked r JOIN united u ON r.key = u.key WHERE n = 1""",
     "q_match_exact": f"WITH {_MATCH} SELECT seq, tier, file_id FROM matches",
-    "q_match_summary": f"""WITH {_MATCH} SELECT playlist_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(file_id) AS BIGINT) AS n_matched FROM matches GROUP BY playlist_id
+    "q_match_cascade": f"WITH {_CASCADE} SELECT seq, tier, file_id FROM matches",
+    "q_match_summary": f"""WITH {_CASCADE} SELECT playlist_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(file_id) AS BIGINT) AS n_matched FROM matches GROUP BY playlist_id
 UNION ALL SELECT NULL, CAST(count(*) AS BIGINT), CAST(count(file_id) AS BIGINT) FROM matches""",
-    "q_unmatched": f"WITH {_MATCH} SELECT m.seq, m.tier, p.playlist_name, p.track_name, p.artist_names, p.spotify_url FROM matches m JOIN playlist_tracks p ON m.seq = p.seq WHERE m.file_id IS NULL",
+    "q_unmatched": f"WITH {_CASCADE} SELECT m.seq, m.tier, p.playlist_name, p.track_name, p.artist_names, p.spotify_url FROM matches m JOIN playlist_tracks p ON m.seq = p.seq WHERE m.file_id IS NULL",
     "q_first_seen_url": "SELECT url, seq, track_id FROM (SELECT trim(spotify_url) AS url, seq, track_id, row_number() OVER (PARTITION BY trim(spotify_url) ORDER BY seq) AS n FROM playlist_tracks WHERE trim(coalesce(spotify_url, '')) <> '') WHERE n = 1",
     "q_batches": "SELECT row_id, spotify_url, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / 25) AS BIGINT) AS batch FROM spotify_manifest WHERE trim(coalesce(spotify_url, '')) <> ''",
     "q_playlist_places": f"""SELECT seq, playlist, CAST(place AS BIGINT) AS place, printf('%02d', CAST(coalesce(nullif(track, 0), place) AS INTEGER)) AS label FROM (SELECT seq, {S.playlist_id('trim(playlist_id)')} AS playlist, track_number AS track,
@@ -135,7 +152,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq D
 top AS (SELECT max(seq) AS last FROM a WHERE seq < 1600000000000000)
 SELECT a.id, CASE WHEN a.seq < 1600000000000000 THEN a.seq ELSE last + 1 + b.seq END AS place, b.name, b.owner, b.track_count FROM a JOIN b ON a.id = b.id CROSS JOIN top WHERE a.seq < b.seq OR a.seq >= 1600000000000000
 UNION ALL SELECT a.id, a.seq, a.name, a.owner, a.track_count FROM a JOIN b ON a.id = b.id WHERE a.seq = b.seq AND a.seq < 1600000000000000""",
-    "q_m3u_lines": f"""WITH {_MATCH} , m AS (SELECT x.playlist_id, x.seq, trim(x.track_id) AS track_id, l.artist, l.title, l.length, l.path FROM matches x JOIN library l ON x.file_id = l.file_id)
+    "q_m3u_lines": f"""WITH {_CASCADE} , m AS (SELECT x.playlist_id, x.seq, trim(x.track_id) AS track_id, l.artist, l.title, l.length, l.path FROM matches x JOIN library l ON x.file_id = l.file_id)
 SELECT playlist_id, seq, 0 AS part, concat('#SPOTIFY:', track_id) AS line FROM m WHERE track_id <> ''
 UNION ALL SELECT playlist_id, seq, 1, concat('#EXTINF:', CAST({S.ext_seconds('length')} AS VARCHAR), ',', {S.entry_label('artist', 'title')}) FROM m
 UNION ALL SELECT playlist_id, seq, 2, concat('../', {S.normal_path('path')}) FROM m""",

@@ -264,3 +264,26 @@ def test_summary_unmatched_and_lines_know_the_fuzzy_tier(spark, tmp_path):
     assert total == {"p0": count(lambda s: s % 2 == 0), "p1": count(lambda s: s % 2 == 1), None: count(lambda s: True)}
     paths = {r.seq: r.line for r in track_queries.q_m3u_lines(spark, d).filter("part = 2").collect()}
     assert paths == {s: f"../albums/{f}.mp3" for s, f in want.items() if f is not None}
+
+
+def test_like_titles_meet_where_all_pairs_would(spark, monkeypatch):
+    """Every pair that reaches the ratio is met, also in a prefix that all titles have and in grids of small blocks."""
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    rng = random.Random(5)
+    titles = ["love", "loves", "lovely", "loveisall", "a", "ab", "abc", "lov", "love" + "a" * 30, "love" + "a" * 27, "love" + "ab" * 40]
+    for base in ["lovemeinthemorninglight", "lovesongforthelastdancer", "lovetrain", "loverofmine12", "love" + "xyz" * 20, "nightdrive"]:
+        for _ in range(8):
+            word = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(word))
+                word[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "e", "7"])
+            titles.append("".join(word))
+    titles = sorted(set(titles))
+    like = lambda a, b: a[:4] == b[:4] and SequenceMatcher(None, b, a).ratio() >= matching.LEAST_RATIO
+    want = {(a, b) for a in titles for b in titles if like(a, b)}
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    met = {tuple(r) for r in matching.like_titles(rows.select(F.col("t").alias("q_nt")), rows.select(F.col("t").alias("c_nt"))).collect()}
+    assert want <= met and len(want) > len(titles)
+    assert all(a[:4] == b[:4] for a, b in met) and len(met) < len(titles) ** 2 / 3
+    none = rows.filter("1 = 0")
+    assert matching.like_titles(none.select(F.col("t").alias("q_nt")), rows.select(F.col("t").alias("c_nt"))).isEmpty()
