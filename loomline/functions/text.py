@@ -20,6 +20,12 @@ AUDIO_EXTENSIONS = (".mp3", ".flac", ".m4a", ".opus", ".ogg", ".wav", ".aac")
 HARD_MARKERS = ("Track no longer exists", "SongError")
 SOFT_MARKERS = ("AudioProviderError", "LookupError", "PermissionError", "No results found", "YT-DLP download error", "returned no usable results")
 VARIOUS_ARTISTS = "Various Artists"
+PRUNED_FOLDER = "__pycache__"
+COLLABORATION_X = r"(?U)(?<!\w)\s+[xX]\s+(?!\w)"
+COLLABORATION_AND = r"(?iU)\s+and\s+"
+ALBUM_LINK = r"(?:/album/|:album:)([A-Za-z0-9]+)"
+TRACK_LINK = r"(?:/track/|:track:)([A-Za-z0-9]+)"
+LOG_LINE = r"^(\S+)(?:\s+#\s*(.*))?$"
 
 
 def text(x: Column) -> Column:
@@ -142,11 +148,11 @@ def playlist_id_of(link: Column) -> Column:
 
 
 def album_id_of(link: Column) -> Column:
-    return F.regexp_extract(text(link), r"(?:/album/|:album:)([A-Za-z0-9]+)", 1)
+    return F.regexp_extract(text(link), ALBUM_LINK, 1)
 
 
 def track_id_of(link: Column) -> Column:
-    return F.regexp_extract(text(link), r"(?:/track/|:track:)([A-Za-z0-9]+)", 1)
+    return F.regexp_extract(text(link), TRACK_LINK, 1)
 
 
 def is_link(x: Column) -> Column:
@@ -164,7 +170,7 @@ def list_form(names: Column) -> Column:
 
 
 def _names(x: Column) -> Column:
-    commas = F.regexp_replace(F.regexp_replace(x, r"(?U)(?<!\w)\s+[xX]\s+(?!\w)", ", "), r"(?iU)\s+and\s+", ", ")
+    commas = F.regexp_replace(F.regexp_replace(x, COLLABORATION_X, ", "), COLLABORATION_AND, ", ")
     return F.filter(F.transform(F.split(commas, ","), strip), lambda a: a != "")
 
 
@@ -224,12 +230,12 @@ def size_text(n: Column) -> Column:
 
 def log_url(line: Column) -> Column:
     """The link of a failure log line; '' for comments and lines of another form."""
-    found = F.regexp_extract(strip(text(line)), r"^(\S+)(?:\s+#\s*(.*))?$", 1)
+    found = F.regexp_extract(strip(text(line)), LOG_LINE, 1)
     return F.when(found.startswith("#"), "").otherwise(found)
 
 
 def log_reason(line: Column) -> Column:
-    return strip(F.regexp_extract(strip(text(line)), r"^(\S+)(?:\s+#\s*(.*))?$", 2))
+    return strip(F.regexp_extract(strip(text(line)), LOG_LINE, 2))
 
 
 def failure_class(output: Column, exit_code: Column) -> Column:
@@ -259,13 +265,23 @@ def spec_parts(spec: Column) -> tuple[Column, Column]:
 
 
 def normal_path(path: Column) -> Column:
-    """Forward slashes, no doubled or trailing ones, no ``.`` parts, and no ``x/..`` (up to eight deep)."""
-    out = F.replace(text(path), F.lit("\\"), F.lit("/"))
-    out = F.regexp_replace(F.regexp_replace(out, r"/(?:\./)+", "/"), r"/{2,}", "/")
-    out = F.regexp_replace(out, r"^\./|/\.?$", "")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\.(?:/|$)", "$1")
-    return F.regexp_replace(out, r"(?<=.)/$", "")
+    """Forward slashes, no doubled or trailing ones, no ``.`` parts, and no ``x/..``, however deep.
+
+    One fold over the parts, which only paths with ``..`` need.
+    """
+    text_ = F.replace(text(path), F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(text_, "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+    up = lambda kept: (F.size(kept) > 0) & (F.element_at(F.concat(kept, F.array(F.lit(".."))), F.greatest(F.size(kept), F.lit(1))) != "..")
+    step = lambda kept, p: F.when((p == "..") & up(kept), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(p)))
+    folded = F.when(F.array_contains(parts, ".."), F.aggregate(parts, empty, step)).otherwise(parts)
+    root = F.when(text_.startswith("/"), "/").otherwise("")
+    return F.concat(root, F.array_join(folded, "/"))
+
+
+def in_pruned_folder(path: Column) -> Column:
+    """Whether a path runs through a folder that walks leave out."""
+    return F.concat(F.lit("/"), dirname(path), F.lit("/")).contains(f"/{PRUNED_FOLDER}/")
 
 
 def counted_summary(counts: list[tuple[Column, str]]) -> Column:

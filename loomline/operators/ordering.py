@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from ..sources.tables import cut_lineage
 
 #: Range of the order column that one task ranks; a larger group is ranked range by range.
 RANGE = 1_000_000
+_COUNTED = re.compile(r"(.*) \(([2-9]|[1-9]\d+)\)", re.DOTALL)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -29,19 +31,23 @@ def first_seen(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(rest, seq).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def position_in_group(df: DataFrame, group: list[str], seq: str, name: str = "place", span: int = RANGE) -> DataFrame:
+def position_in_group(df: DataFrame, group: list[str], seq: str, name: str = "place", span: int = RANGE, differs: str | None = None) -> DataFrame:
     """``df`` with the 1-based place of every row in its group by ``seq`` (whole numbers, unique in the group). Null is a group too.
 
     Places within a range of ``seq`` come from one window, the counts of earlier ranges are
-    added: no task sorts more of a group than ``span`` rows.
+    added: no task sorts more of a group than ``span`` rows. With ``differs`` there is a column
+    ``_mixed`` too: whether the group has different values of that column.
     """
-    placed = df.withColumn("_range", F.floor(F.col(seq) / span))
-    counts = placed.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("_n")
-    own = F.row_number().over(W.partitionBy(*group, "_range").orderBy(seq))
-    ranked = same_keys(placed.withColumn("_own", own), counts, [*group, "_range"])
-    return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    placed = df.withColumns({"_group": F.to_json(F.struct(*group)), "_range": F.floor(F.col(seq) / span)})
+    ends = [F.min(differs).alias("_low"), F.max(differs).alias("_high")] if differs else []
+    counts = placed.groupBy("_group", "_range").agg(F.count("*").alias("_n"), *ends)
+    whole = W.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    mixed = [(F.min("_low").over(whole) != F.max("_high").over(whole)).alias("_mixed")] if differs else []
+    counts = counts.select("_group", "_range", before.alias("_before"), *mixed)
+    own = F.row_number().over(W.partitionBy("_group", "_range").orderBy(seq))
+    ranked = placed.withColumn("_own", own).join(counts, ["_group", "_range"])
+    return ranked.withColumn(name, F.col("_before") + F.col("_own")).drop("_group", "_range", "_own", "_before")
 
 
 def numbered(df: DataFrame, order: list[Column] | None = None, most: int | None = None) -> DataFrame:
@@ -85,20 +91,29 @@ def upsert(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
 
 def _suffixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Names of colliding families, which come one after another and in order: the first keeps
-    its name, later ones count up. Only the names taken in the current family are held."""
-    family, taken, free = None, set(), {}
+    its name, later ones count up. Of the current family only its different bases are held: a
+    counted name is taken if its base has counted beyond it, any other if it was given as it is."""
+    family, given, free = None, set(), {}
+
+    def taken(name: str) -> bool:
+        counted = _COUNTED.fullmatch(name)
+        return name in given or (counted is not None and int(counted[2]) < free.get(counted[1], 2))
+
     for frame in frames:
         out = []
         for key, base, ext in zip(frame["_family"], frame["_base"], frame["_ext"], strict=True):
             if key != family:
-                family, taken, free = key, set(), {}
-            stem = (base.lower(), ext.lower())
-            name, n = f"{base}{ext}", free.get(stem, 2)  # the smallest free counter of a base never falls
-            while name.lower() in taken:
-                name, n = f"{base} ({n}){ext}", n + 1
-            free[stem] = n
-            taken.add(name.lower())
-            out.append(name)
+                family, given, free = key, set(), {}
+            low, n = base.lower(), 2
+            if not taken(low):
+                given.add(low)
+                out.append(f"{base}{ext}")
+                continue
+            n = free.get(low, 2)  # all counters of a base below this one are taken, so it never falls
+            while taken(f"{low} ({n})"):
+                n += 1
+            free[low] = n + 1
+            out.append(f"{base} ({n}){ext}")
         yield pd.DataFrame({"_seq": frame["_seq"], "unique_name": out})
 
 
@@ -106,19 +121,19 @@ def unique_names(df: DataFrame, folder: list[str], base: Column, ext: Column, se
     """``df`` with ``unique_name``: base + ext, with `` (2)``, `` (3)`` where a folder has it already.
 
     Case does not count. Names can only collide within a family: same folder, same base
-    without counters, same extension. A family of one name is ranked; only a family that
-    holds several bases (a name that already ends in a counter) is walked in order.
+    without counters, same extension. Ranks and whether a family is of one name come from one
+    pass; only a family that holds several bases (a name that already ends in a counter) is
+    walked in order, as a stream that holds its different bases.
     """
-    rows = df.withColumns({"_base": base, "_ext": ext, "_seq": F.col(seq)})
-    root = F.regexp_replace(F.lower("_base"), r"(?: \(\d+\))+$", "")
-    rows = rows.withColumns({"_root": root, "_low": F.lower("_base"), "_lowext": F.lower("_ext")})
+    low = F.lower(base)
+    rows = df.withColumns({"_base": base, "_ext": ext, "_seq": F.col(seq), "_root": F.regexp_replace(low, r"(?: \(\d+\))+$", ""), "_lowext": F.lower(ext), "_lowbase": low})
     family = [*folder, "_root", "_lowext"]
-    kinds = rows.groupBy(*family).agg(F.min("_low").alias("_a"), F.max("_low").alias("_b"))
-    mixed = kinds.filter("_a <> _b").select(*family)
-    ranked = position_in_group(same_keys(rows, mixed, family, "left_anti"), family, "_seq", "_rank")
+    ranked = cut_lineage(position_in_group(rows, family, "_seq", "_rank", differs="_lowbase"))
     name = F.when(F.col("_rank") == 1, F.concat("_base", "_ext")).otherwise(F.concat("_base", F.lit(" ("), F.col("_rank").cast("string"), F.lit(")"), "_ext"))
-    easy = ranked.withColumn("unique_name", name).drop("_rank")
-    held = same_keys(rows, mixed, family, "left_semi")
-    one = held.select(F.to_json(F.struct(*family)).alias("_family"), "_seq", "_base", "_ext")
-    walked = one.repartition("_family").sortWithinPartitions("_family", "_seq").mapInPandas(_suffixed, "_seq long, unique_name string")
-    return easy.unionByName(held.join(walked, "_seq")).drop("_base", "_ext", "_seq", "_root", "_low", "_lowext")
+    out = ranked.filter(~F.col("_mixed")).withColumn("unique_name", name)
+    held = ranked.filter("_mixed")
+    if not held.isEmpty():
+        one = held.select(F.to_json(F.struct(*family)).alias("_family"), "_seq", "_base", "_ext")
+        walked = one.repartition("_family").sortWithinPartitions("_family", "_seq").mapInPandas(_suffixed, "_seq long, unique_name string")
+        out = out.unionByName(held.join(walked, "_seq"))
+    return out.drop("_base", "_ext", "_seq", "_root", "_lowbase", "_lowext", "_rank", "_mixed")

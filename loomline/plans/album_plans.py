@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import canonical
 from ..operators.ordering import position_in_group, unique_names
+from ..sources.tables import cut_lineage
 
 
 def _named(files: DataFrame, folder: list[str]) -> DataFrame:
@@ -18,8 +19,8 @@ def _named(files: DataFrame, folder: list[str]) -> DataFrame:
 
 
 def _judged(files: DataFrame) -> DataFrame:
-    groups = canonical.group_sizes(files).select("group", "kind", "n")
-    return files.join(groups, "group").join(canonical.album_artists(files), "group").join(canonical.dominant_albums(files), "group")
+    """Files with the size and the votes of their group, written once: plans read them several times."""
+    return cut_lineage(files.join(canonical.judged(files), "group"))
 
 
 def cleanup_plan(library: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def various_groups(library: DataFrame) -> DataFrame:
     """(album, n, folders) of the album groups without a common artist."""
     files = canonical.grouped(canonical.scan(library))
     sizes = canonical.group_sizes(files).filter("kind = 'album'")
-    named = sizes.join(canonical.album_artists(files), "group").join(canonical.dominant_albums(files), "group")
+    named = sizes.join(canonical.judged(files).drop("kind", "n"), "group")
     album = F.when(F.col("album_vote") != "", F.col("album_vote")).otherwise(T.folder_name(F.col("albumartist_vote"), F.col("album_vote")))
     return named.filter(F.col("albumartist_vote") == T.VARIOUS_ARTISTS).select("group", album.alias("album"), "n", "folders")
 
@@ -71,8 +72,8 @@ def stage_plan(incoming: DataFrame, library: DataFrame) -> DataFrame:
     outcome = F.when(merge, "merge").when(F.col("with_album") & (F.col("n") >= 2), "stage").otherwise("pass")
     ambiguous = F.col("with_album") & (F.coalesce("n_folders", F.lit(0)) > 1)
     looked = looked.withColumns({"outcome": outcome, "ambiguous": ambiguous})
-    have = library.filter(T.is_audio(F.col("path")) & (T.strip(T.text(F.col("title"))) != "")).select(
-        T.dirname(F.col("path")).alias("folder"), T.norm_key(F.col("title")).alias("title_key"), F.lit(True).alias("owned")
+    have = library.filter(T.is_audio(F.col("path")) & (T.strip(T.text(F.col("title"))) != "") & ~T.in_pruned_folder(F.col("path"))).select(
+        canonical.album_folder(F.col("path")).alias("folder"), T.norm_key(F.col("title")).alias("title_key"), F.lit(True).alias("owned")
     ).distinct()
     looked = looked.withColumn("title_key", T.norm_key(F.col("title"))).join(have, ["folder", "title_key"], "left")
     looked = looked.withColumn("outcome", F.when((F.col("outcome") == "merge") & F.col("owned"), "duplicate").otherwise(F.col("outcome")))
@@ -80,7 +81,7 @@ def stage_plan(incoming: DataFrame, library: DataFrame) -> DataFrame:
     tag = F.when(F.col("outcome") == "merge", F.coalesce(F.nullif("existing_aa", F.lit("")), F.col("albumartist_vote"))).otherwise(F.col("albumartist_vote"))
     looked = looked.withColumns({"target": target, "tag": tag})
     # places are counted over all members of a group, also those that stay behind
-    placed = position_in_group(looked, ["group"], "seq")
+    placed = cut_lineage(position_in_group(looked, ["group"], "seq"))
     base = F.concat(T.track_label(F.col("track"), F.col("place")), F.lit(" - "), T.sanitize(F.col("artist")), F.lit(" - "), T.sanitize(F.col("title")))
     going = placed.filter("outcome in ('merge', 'stage')").withColumn("base", base).drop("place")
     going = unique_names(going, ["target"], F.col("base"), T.extension(F.col("path")), "seq")
@@ -88,7 +89,7 @@ def stage_plan(incoming: DataFrame, library: DataFrame) -> DataFrame:
     moved = T.normal_path(F.col("dst")) != T.normal_path(F.col("path"))
     fix = T.norm_key(F.col("albumartist")) != T.norm_key(F.col("tag"))
     go = going.select("seq", "path", "outcome", "dst", moved.alias("move"), F.col("tag").alias("albumartist"), fix.alias("tag_write"), "ambiguous")
-    stay = looked.filter("outcome not in ('merge', 'stage')").select(
+    stay = placed.filter("outcome not in ('merge', 'stage')").select(
         "seq", "path", "outcome", F.lit(None).cast("string").alias("dst"), F.lit(False).alias("move"), F.lit(None).cast("string").alias("albumartist"), F.lit(False).alias("tag_write"), "ambiguous"
     )
     return go.unionByName(stay)

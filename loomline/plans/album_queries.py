@@ -88,12 +88,15 @@ al1 AS (SELECT grp, {S.norm_key('album')} AS key, count(*) AS n, min(seq) AS s,
 al AS (SELECT z.grp, coalesce(x.val, '') AS al FROM sizes z LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, s) AS r FROM al1) x ON z.grp = x.grp AND x.r = 1)"""
 _LIB = _SCAN.replace("{src}", "library")
 _IN = _SCAN.replace("{src}", "(SELECT * FROM library WHERE NOT starts_with(coalesce(path, ''), 'albums/'))")
-_INDEX = f"""reps AS (SELECT {S.dirname('path')} AS folder, arg_min({_p('albumartist')}, path) AS aa, arg_min({_p('album')}, path) AS al FROM (SELECT * FROM library ORDER BY file_id)
-  WHERE starts_with(path, 'albums/') AND lower({S.extension('path')}) IN ('.mp3', '.flac', '.m4a', '.opus', '.ogg', '.wav', '.aac') GROUP BY 1),
+_audio = f"lower({S.extension('path')}) IN ('.mp3', '.flac', '.m4a', '.opus', '.ogg', '.wav', '.aac')"
+_split = "string_split(coalesce(path, ''), '/')"
+_FOLDER = f"CASE WHEN {_split}[1] = 'albums' AND len({_split}) > 2 THEN concat('albums/', {_split}[2]) END"
+_INDEX = f"""walked AS (SELECT *, {_FOLDER} AS top, list_transform({_split}, lambda x, i: {{'deeper': i < len({_split}), 'name': x}}) AS walk FROM library WHERE {_audio}),
+reps AS (SELECT top AS folder, {_p('albumartist')} AS aa, {_p('album')} AS al FROM (SELECT *, row_number() OVER (PARTITION BY top ORDER BY walk, file_id) AS n FROM walked WHERE top IS NOT NULL) WHERE n = 1),
 idx AS (SELECT {S.norm_key('aa')} AS aa_key, {S.norm_key('al')} AS album_key, count(*) AS n_folders, CASE WHEN count(*) = 1 THEN min(folder) END AS folder, CASE WHEN count(*) = 1 THEN min(aa) END AS existing_aa
   FROM reps WHERE al <> '' GROUP BY 1, 2)"""
-_OUTCOME = f"""have AS (SELECT DISTINCT {S.dirname('path')} AS folder, {S.norm_key('title')} AS title_key FROM library WHERE {_p('title')} <> '' AND lower({S.extension('path')}) IN ('.mp3', '.flac', '.m4a', '.opus', '.ogg', '.wav', '.aac')),
-j AS (SELECT f.seq, f.albumartist, starts_with(f.grp, 'a:') AS wa, z.n, aa.aa, i.folder, i.existing_aa, coalesce(i.n_folders, 0) AS n_folders, h.folder IS NOT NULL AS owned
+_OUTCOME = f"""have AS (SELECT DISTINCT {_FOLDER} AS folder, {S.norm_key('title')} AS title_key FROM library WHERE {_p('title')} <> '' AND {_audio}),
+j AS (SELECT f.*, al.al, starts_with(f.grp, 'a:') AS wa, z.n, aa.aa, i.folder, i.existing_aa, coalesce(i.n_folders, 0) AS n_folders, h.folder IS NOT NULL AS owned
   FROM f JOIN sizes z ON f.grp = z.grp JOIN aa ON f.grp = aa.grp JOIN al ON f.grp = al.grp LEFT JOIN idx i ON i.aa_key = {S.norm_key('aa.aa')} AND i.album_key = {S.norm_key('al.al')}
   LEFT JOIN have h ON h.folder = i.folder AND h.title_key = {S.norm_key('f.title')}),
 o AS (SELECT *, CASE WHEN wa AND folder IS NOT NULL THEN CASE WHEN owned THEN 'duplicate' ELSE 'merge' END WHEN wa AND n >= 2 THEN 'stage' ELSE 'pass' END AS outcome FROM j),
@@ -108,7 +111,20 @@ dsts AS (SELECT seq, path, kind, CASE kind WHEN 'single' THEN concat('singles/',
   kind = 'album' AND {S.norm_key('albumartist')} <> {S.norm_key('aa')} AS tag_write FROM ranked),
 plan AS (SELECT seq, path, kind, dst, {S.normal_path('dst')} <> {S.normal_path('path')} AS move, albumartist, tag_write FROM dsts)"""
 
+_STAGED = f"""going AS (SELECT *, CASE outcome WHEN 'merge' THEN coalesce(nullif(existing_aa, ''), aa) ELSE aa END AS tag, {S.extension('path')} AS ext,
+  CASE WHEN outcome = 'merge' THEN folder ELSE concat('incoming/albums/', {S.folder_name('aa', 'al')}) END AS target,
+  concat(printf('%02d', CAST(coalesce(nullif(track, 0), place) AS INTEGER)), ' - ', {S.sanitize('artist')}, ' - ', {S.sanitize('title')}) AS base
+  FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seq) AS place FROM o) WHERE outcome IN ('merge', 'stage')),
+named AS (SELECT *, row_number() OVER (PARTITION BY target, lower(base), lower(ext) ORDER BY seq) AS rank FROM going),
+goal AS (SELECT *, concat(target, '/', base, CASE WHEN rank > 1 THEN concat(' (', rank, ')') ELSE '' END, ext) AS dst FROM named),
+staging AS (SELECT seq, path, outcome, dst, {S.normal_path('dst')} <> {S.normal_path('path')} AS move, tag AS albumartist, {S.norm_key('albumartist')} <> {S.norm_key('tag')} AS tag_write, wa AND n_folders > 1 AS ambiguous FROM goal
+  UNION ALL SELECT seq, path, outcome, NULL, false, NULL, false, wa AND n_folders > 1 FROM o WHERE outcome NOT IN ('merge', 'stage'))"""
+
 SQL = {
+    "q_stage_plan": f"WITH {_IN}, {_INDEX}, {_OUTCOME}, {_STAGED} SELECT * FROM staging",
+    "q_stage_report": f"""WITH {_IN}, {_INDEX}, {_OUTCOME}, {_STAGED} SELECT count(*) AS scanned, count(*) FILTER (WHERE outcome = 'stage') AS staged, count(*) FILTER (WHERE outcome = 'merge') AS merged,
+  count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, count(*) FILTER (WHERE outcome = 'pass') AS passed, count(*) FILTER (WHERE tag_write) AS tag_writes, count(*) FILTER (WHERE ambiguous) AS ambiguous,
+  count(DISTINCT CASE WHEN outcome = 'stage' THEN {S.dirname('dst')} END) AS staged_folders, count(DISTINCT CASE WHEN outcome = 'merge' THEN {S.dirname('dst')} END) AS merged_folders FROM staging""",
     "q_cleanup_plan": f"WITH {_LIB}, {_PLAN} SELECT * FROM plan",
     "q_cleanup_counters": f"""WITH {_LIB}, {_PLAN} SELECT count(*) FILTER (WHERE kind = 'album' AND move) AS album_moves, count(*) FILTER (WHERE kind = 'single' AND move) AS single_moves,
   count(*) FILTER (WHERE NOT move) AS in_place, count(*) FILTER (WHERE tag_write) AS tag_writes FROM plan""",
