@@ -17,6 +17,7 @@ WORD = r"\p{L}\p{N}_"
 ILLEGAL = r'[\\/:*?"<>|]'
 ILLEGAL_AND_CONTROLS = r'[<>:"/\\|?*\x00-\x1f]'
 AUDIO_EXTENSIONS = (".mp3", ".flac", ".m4a", ".opus", ".ogg", ".wav", ".aac")
+PLAYLIST_EXTENSIONS = (".m3u8", ".m3u")
 HARD_MARKERS = ("Track no longer exists", "SongError")
 SOFT_MARKERS = ("AudioProviderError", "LookupError", "PermissionError", "No results found", "YT-DLP download error", "returned no usable results")
 VARIOUS_ARTISTS = "Various Artists"
@@ -25,6 +26,7 @@ COLLABORATION_X = r"(?U)(?<!\w)\s+[xX]\s+(?!\w)"
 COLLABORATION_AND = r"(?iU)\s+and\s+"
 ALBUM_LINK = r"(?:/album/|:album:)([A-Za-z0-9]+)"
 TRACK_LINK = r"(?:/track/|:track:)([A-Za-z0-9]+)"
+PLAYLIST_LINK = r"(?i)/sets/|/albums/|/tracks/?$|/likes/?$|/reposts/?"
 LOG_LINE = r"^(\S+)(?:\s+#\s*(.*))?$"
 
 
@@ -297,3 +299,25 @@ def relative_path(path: Column, folder: Column) -> Column:
     k = F.when(F.size(b) == 0, 0).otherwise(F.size(F.filter(same, lambda x: x)))
     up = F.repeat(F.lit("../"), F.size(b) - k)
     return F.concat(up, F.array_join(F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0))), "/"))
+
+
+def is_playlist_link(x: Column) -> Column:
+    """Whether a link of the audio site leads to a list of recordings."""
+    return text(x).rlike(PLAYLIST_LINK)
+
+
+def label_of_stem(name: Column) -> Column:
+    """The name of a file shown as a label: its stem as it is."""
+    return stem(name)
+
+
+def csv_field(x: Column) -> Column:
+    """A CSV field, quoted where it holds a comma, a quote or a line feed."""
+    t = text(x)
+    return F.when(t.rlike('[,"\\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+
+
+def relative_inside(path: Column, root: Column) -> Column:
+    """``path`` as seen from ``root``; null outside of it, '.' for the root itself."""
+    p, r = normal_path(path), normal_path(root)
+    return F.when(p == r, ".").when(p.startswith(F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p)))

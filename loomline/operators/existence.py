@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import numbered
 
 
 def library_stems(paths: DataFrame, path: str, root: str = "singles", recursive: bool = False) -> DataFrame:
@@ -64,9 +65,10 @@ def retry_split(failures: DataFrame, metadata: DataFrame, stems: DataFrame, incl
 
 
 def retry_report(split: DataFrame) -> DataFrame:
-    """The rows to try again, with a search link; order by ``no_artist`` and the lower-case columns."""
-    rows = split.filter("state <> 'on_disk'")
-    return rows.select(
+    """The rows to try again, with a search link and their ``place``: rows with an artist first, then by artist, album and track without case."""
+    rows = split.filter("state <> 'on_disk'").select(
         "artist", "track", "album", F.array_join("reasons", ", ").alias("reason"), F.col("url").alias("spotify_url"), T.search_url(F.col("artist"), F.col("track")).alias("search"),
         (F.col("artist") == "").alias("no_artist"), F.col("first_seq"),
-    ).orderBy("no_artist", F.lower("artist"), F.lower("album"), F.lower("track"), "first_seq")
+    )
+    order = [F.col("no_artist"), F.lower("artist"), F.lower("album"), F.lower("track"), F.col("first_seq")]
+    return numbered(rows, order).withColumnRenamed("code", "place")

@@ -69,18 +69,106 @@ def resolution_warnings(specs: DataFrame, found: DataFrame) -> DataFrame:
     return specs.select("spec").distinct().join(counts, "spec", "left").select("spec", n.alias("n"), warning.alias("warning"))
 
 
+def resolve_targets(specs: DataFrame, library: DataFrame, entries: DataFrame, soundtracks: str = "soundtracks") -> tuple[DataFrame, DataFrame]:
+    """What specs (seq, kind, spec) name, in buckets, and what went wrong.
+
+    Kinds are album, song, soundtrack and playlist; ``entries`` is (playlist, name, path) of
+    the playlist files, ``library`` the files. First result: (bucket, target, seq) with the
+    buckets folders, files and m3u8, each target once, at its first spec. Second: (kind, spec,
+    warning) for specs without or with several targets, unknown kinds, and playlists that
+    list files that are not there, which are left out.
+    """
+    of = lambda kind: specs.filter(F.col("kind") == kind).select("spec")
+    lists = resolve_playlists(of("playlist"), entries, library.select(T.normal_path(F.col("path")).alias("path")))
+    found = {
+        "album": resolve_albums(of("album"), library).select("spec", "target"),
+        "song": resolve_songs(of("song"), library).select("spec", "target"),
+        "soundtrack": resolve_folders(of("soundtrack"), library, soundtracks).select("spec", "target"),
+        "playlist": lists.select("spec", F.col("playlist").alias("target")).distinct(),
+    }
+    bucket = {"album": "folders", "song": "files", "soundtrack": "folders", "playlist": "m3u8"}
+    tagged = [df.select(F.lit(k).alias("kind"), "spec", F.lit(bucket[k]).alias("bucket"), "target") for k, df in found.items()]
+    tagged.append(lists.filter("exists").select(F.lit("playlist").alias("kind"), "spec", F.lit("files").alias("bucket"), F.col("path").alias("target")))
+    every = tagged[0]
+    for part in tagged[1:]:
+        every = every.unionByName(part)
+    order = specs.groupBy("kind", "spec").agg(F.min("seq").alias("seq"))
+    targets = every.join(order, ["kind", "spec"]).groupBy("bucket", "target").agg(F.min("seq").alias("seq"))
+    warned = [resolution_warnings(of(k), df).filter("warning is not null").select(F.lit(k).alias("kind"), "spec", "warning") for k, df in found.items()]
+    gone = lists.filter("not exists").groupBy("spec", "playlist").agg(F.count_distinct("path").alias("n"))
+    warned.append(gone.select(F.lit("playlist").alias("kind"), "spec", F.concat("playlist", F.lit(": "), F.col("n").cast("string"), F.lit(" track(s) not there (skipped)")).alias("warning")))
+    unknown = specs.filter(~F.col("kind").isin(*found)).select("kind", "spec", F.concat(F.lit("unknown kind "), "kind").alias("warning")).distinct()
+    warned.append(unknown)
+    warnings = warned[0]
+    for part in warned[1:]:
+        warnings = warnings.unionByName(part)
+    return targets, warnings
+
+
+def needs_catalog(kind: str, specs: DataFrame, library: DataFrame) -> bool:
+    """Whether specs (spec) of a kind can only be resolved with the tags of the library: a name that is no path and no album folder."""
+    if kind in ("soundtrack", "playlist"):
+        return False
+    keyed = specs.select("spec").distinct()
+    if kind == "album":
+        folders = _folders(library, "path", "albums")
+        left = keyed.join(folders, T.normal_path(F.col("spec")) == F.col("folder"), "left_anti")
+        tops = folders.filter(F.size(F.split("folder", "/")) == 2)
+        return not left.join(tops, T.norm_key(F.col("spec")) == F.col("name_key"), "left_anti").isEmpty()
+    files = library.select(T.normal_path(F.col("path")).alias("target"))
+    return not keyed.join(files, T.normal_path(F.col("spec")) == F.col("target"), "left_anti").isEmpty()
+
+
+def expanded(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, bucket, seq): targets (bucket, target, seq) with folders replaced by all files (path) below them, at any depth.
+
+    Buckets are numbered in the order in which they are staged: folders, files, m3u8. A file
+    knows its folders, so this is an equi-join.
+    """
+    number = F.when(F.col("bucket") == "folders", 0).when(F.col("bucket") == "files", 1).otherwise(2)
+    numbered = targets.select("target", number.alias("bucket"), "seq")
+    paths = files.select(T.normal_path(F.col("path")).alias("path")).distinct()
+    parts = F.split(T.dirname(F.col("path")), "/")
+    above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("target"))
+    folders = numbered.filter("bucket = 0").withColumn("target", T.normal_path(F.col("target"))).join(above, "target").select("path", "bucket", "seq")
+    return folders.unionByName(numbered.filter("bucket > 0").select(F.col("target").alias("path"), "bucket", "seq"))
+
+
 def collect_plan(items: DataFrame, root: str) -> DataFrame:
-    """(rel, bucket, seq) of items (bucket, path, seq) inside ``root``, the first of equal relative paths."""
-    p = T.normal_path(F.col("path"))
-    inside = items.filter(p.startswith(root + "/")).select(F.substring(p, F.lit(len(root) + 2), F.length(p)).alias("rel"), "bucket", "seq")
+    """(rel, bucket, seq) of items (bucket, path, seq) inside ``root``, the first of equal relative paths by bucket and seq."""
+    inside = items.select(T.relative_inside(F.col("path"), F.lit(root)).alias("rel"), "bucket", "seq").filter("rel is not null")
     return inside.groupBy("rel").agg(F.min(F.struct("bucket", "seq")).alias("first")).select("rel", "first.bucket", "first.seq")
 
 
-def stage_actions(plan: DataFrame, present: DataFrame, overwrite: bool = False, link: bool = False) -> DataFrame:
-    """(rel, action): copy or link, or for what is there already skip or overwrite."""
+def stage_actions(plan: DataFrame, present: DataFrame, overwrite: bool = False, link: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """(rel, action): copy or link, or for what is there already skip or overwrite.
+
+    With ``source`` (rel), what is to be written but not there to be read is an 'error'.
+    """
     there = present.select("rel").distinct().withColumn("there", F.lit(True))
     action = F.when(F.col("there"), "overwrite" if overwrite else "skip").otherwise("link" if link else "copy")
-    return plan.join(there, "rel", "left").select("rel", action.alias("action"))
+    out = plan.join(there, "rel", "left").select("rel", action.alias("action"))
+    if source is None:
+        return out
+    known = source.select("rel").distinct().withColumn("known", F.lit(True))
+    return out.join(known, "rel", "left").select("rel", F.when((F.col("action") != "skip") & F.col("known").isNull(), "error").otherwise(F.col("action")).alias("action"))
+
+
+def unstage_actions(plan: DataFrame, present: DataFrame, protected: DataFrame) -> DataFrame:
+    """(rel, action) of the files (rel) of what is taken back.
+
+    'protected': an audio file that a remaining playlist (protected.rel) refers to; else
+    'missing' if it is not there, and 'm3u8_removed' for a playlist file or 'removed'.
+    """
+    flag = lambda df, name: df.select("rel").distinct().withColumn(name, F.lit(True))
+    lists = F.lower(T.extension(F.col("rel"))).isin(*T.PLAYLIST_EXTENSIONS)
+    action = F.when(F.col("kept") & ~lists, "protected").when(F.col("there").isNull(), "missing").when(lists, "m3u8_removed").otherwise("removed")
+    return plan.select("rel").distinct().join(flag(protected, "kept"), "rel", "left").join(flag(present, "there"), "rel", "left").select("rel", action.alias("action"))
+
+
+def action_counts(actions: DataFrame, names: list[str]) -> DataFrame:
+    """One row with how often each of the named actions is planned."""
+    return actions.agg(*[F.count_if(F.col("action") == n).alias(n) for n in names])
 
 
 def removal(removed: DataFrame, remaining: DataFrame, present: DataFrame) -> DataFrame:
@@ -95,28 +183,63 @@ def removal(removed: DataFrame, remaining: DataFrame, present: DataFrame) -> Dat
     return files.join(kept, "path", "left").join(there, "path", "left").select("path", action.alias("action"))
 
 
-def inventory(files: DataFrame) -> DataFrame:
+#: The subtrees that an inventory counts.
+SUBTREES = ("albums", "singles", "soundtracks", "playlists")
+
+
+def inventory(files: DataFrame, subtrees: tuple[str, ...] | None = SUBTREES) -> DataFrame:
     """(sub, folder, n_files, n_folders, bytes) per folder, per subtree (folder null) and in all (both null).
 
-    ``files`` is (path, size); files right under a subtree have the folder ''.
+    ``files`` is (path, size); only ``subtrees`` count, all of them if None; files right under a subtree have the folder ''.
     """
     p = T.normal_path(F.col("path"))
     sub = F.split_part(p, F.lit("/"), F.lit(1))
     folder = F.regexp_replace(T.dirname(p), r"^[^/]*/?", "")
     rows = files.select(sub.alias("sub"), folder.alias("folder"), F.concat_ws("/", sub, folder).alias("dir"), "size")
+    rows = rows if subtrees is None else rows.filter(F.col("sub").isin(*subtrees))
     counted = rows.rollup("sub", "folder").agg(
         F.count("*").alias("n_files"), F.count_distinct(F.when(F.col("folder") != "", F.col("dir"))).alias("n_folders"), F.sum("size").alias("bytes")
     )
     return counted.withColumn("size", T.size_text(F.col("bytes")))
 
 
-def selected_playlists(playlists: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Playlists whose name or id is a given token (token), by name without case."""
-    ids = tokens.select(F.col("token")).distinct()
-    by_id = playlists.join(ids, playlists["id"] == ids["token"], "left_semi")
-    names = ids.select(F.lower(F.trim("token")).alias("name_key")).distinct()
-    by_name = playlists.withColumn("name_key", F.lower(F.trim("name"))).join(names, "name_key", "left_semi").drop("name_key")
-    return by_id.unionByName(by_name).distinct()
+#: Fixed value: a token of at least so many characters is taken for an id.
+ID_LENGTH = 16
+
+
+def _tokens(tokens: DataFrame) -> DataFrame:
+    """(token, as_id, is_id): the id in a token, and whether the token stands for it."""
+    as_id = T.playlist_id_of(F.col("token"))
+    return tokens.select("token").distinct().select("token", as_id.alias("as_id"), (F.length(as_id) >= ID_LENGTH).alias("is_id"))
+
+
+def selected_playlists(playlists: DataFrame, tokens: DataFrame | None = None, every: bool = False, owner: str | None = None) -> DataFrame:
+    """The playlists that are asked for: those whose name or id is a given token, else every one, else those of ``owner``.
+
+    A token is a link, an id or a name; names count as they are written. Without tokens,
+    ``every`` and ``owner`` all are taken. Repeated rows stay.
+    """
+    if tokens is not None:
+        named = _tokens(tokens)
+        ids = named.filter("is_id").select(F.col("as_id").alias("wanted_id"), F.lit(True).alias("by_id")).distinct()
+        names = named.filter("not is_id").select(F.col("token").alias("wanted_name"), F.lit(True).alias("by_name")).distinct()
+        hit = playlists.join(ids, F.col("id") == F.col("wanted_id"), "left").join(names, F.col("name") == F.col("wanted_name"), "left")
+        return hit.filter("by_id or by_name").select(*playlists.columns)
+    if every or owner is None:
+        return playlists
+    return playlists.filter(T.text(F.col("owner")) == owner)
+
+
+def fetch_list(tokens: DataFrame, playlists: DataFrame) -> DataFrame:
+    """(token, id): what to fetch for every token; id is null for a name that no playlist has. Of equal names the last by ``seq`` counts."""
+    known = playlists.filter((T.text(F.col("name")) != "") & (T.text(F.col("id")) != "")).groupBy("name").agg(F.max_by("id", "seq").alias("known_id"))
+    named = _tokens(tokens).join(known, (~F.col("is_id")) & (F.col("token") == F.col("name")), "left")
+    return named.select("token", F.when(F.col("is_id"), F.col("as_id")).otherwise(F.col("known_id")).alias("id"))
+
+
+def playlist_rows(playlists: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Every playlist with each of its rows, and once with null row columns if it has none."""
+    return playlists.join(rows, key, "left")
 
 
 def scoped_refresh(old: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -102,3 +102,29 @@ def stage_report(plan: DataFrame) -> DataFrame:
         F.count_if("tag_write").alias("tag_writes"), F.count_if("ambiguous").alias("ambiguous"),
         F.count_distinct(F.when(F.col("outcome") == "stage", T.dirname(F.col("dst")))).alias("staged_folders"), F.count_distinct(F.when(F.col("outcome") == "merge", T.dirname(F.col("dst")))).alias("merged_folders"),
     )
+
+
+def library_actions(plan: DataFrame) -> DataFrame:
+    """(action, path, target) that carry a cleanup plan out: moves, then tags at the places moved to, then folders left empty.
+
+    'move' leads from path to target; 'tag' writes the albumartist ``target`` into the file that
+    stands at ``path`` by then; 'prune' removes a folder that held files before and holds none,
+    nor a folder with any, after.
+    """
+    now = F.when(F.col("move"), F.col("dst")).otherwise(F.col("path"))
+    moves = plan.filter("move").select(F.lit("move").alias("action"), "path", F.col("dst").alias("target"))
+    tags = plan.filter("tag_write").select(F.lit("tag").alias("action"), now.alias("path"), F.col("albumartist").alias("target"))
+
+    def folders(path: Column) -> DataFrame:
+        parts = F.split(T.dirname(T.normal_path(path)), "/")
+        deep = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        return plan.select(F.explode(deep).alias("path")).filter("path <> ''").distinct()
+
+    empty = folders(F.col("path")).join(folders(now), "path", "left_anti")
+    return moves.unionByName(tags).unionByName(empty.select(F.lit("prune").alias("action"), "path", F.lit(None).cast("string").alias("target")))
+
+
+def shown(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """What a report lists: the first ``most`` rows in ``order`` and, in ``n_more``, how many there are besides."""
+    more = F.greatest(rows.agg(F.count("*").alias("n")).scalar() - most, F.lit(0))
+    return rows.orderBy(*order).limit(most).withColumn("n_more", more)

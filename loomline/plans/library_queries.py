@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import existence, ordering, resolve
 from ..operators.references import bare_id
-from ..sources import pages
 from ..sources.tables import table
 from . import function_queries as S
 
@@ -59,6 +58,7 @@ def q_retry_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_retry_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report with the place of every row in it."""
     return existence.retry_report(_split(spark, d))
 
 
@@ -138,27 +138,18 @@ def q_scoped_refresh(spark: SparkSession, d: str) -> DataFrame:
     return resolve.scoped_refresh(aged.filter("not late").drop("late"), aged.filter("late").drop("late"), "playlist")
 
 
-def q_playlist_select(spark: SparkSession, d: str) -> DataFrame:
-    """Playlists named by a playlist row's name or bare id."""
-    lists = table(spark, d, "playlists").select(T.strip(F.col("id")).alias("id"), "name", "owner").filter("id <> ''").distinct()
-    rows = table(spark, d, "playlist_tracks")
-    tokens = rows.select(F.col("playlist_name").alias("token")).unionByName(rows.select(F.col("playlist_id").alias("token"))).filter("trim(token) <> ''").distinct()
-    return resolve.selected_playlists(lists, tokens)
-
-
 def q_search_pick(spark: SparkSession, d: str) -> DataFrame:
-    """For every manifest title the library file to take: an exact title first, else the first of the album."""
-    m = table(spark, d, "spotify_manifest").select(F.col("row_id").alias("query"), F.col("track_name").alias("wanted"), T.norm_key(F.col("album_name")).alias("album_key"), T.norm_key(F.col("track_name")).alias("title_key"))
-    lib = table(spark, d, "library").select(F.col("file_id").alias("id"), "title", T.norm_key(F.col("album")).alias("album_key"), T.norm_key(F.col("title")).alias("title_key")).filter("title is not null")
-    both = m.filter("title_key <> ''").join(lib.drop("album_key"), "title_key").select("query", F.lit(1).alias("search"), F.col("id").alias("pos"), "title", "wanted", "id")
-    album = m.filter("album_key <> ''").join(lib.drop("title_key"), "album_key").select("query", F.lit(2).alias("search"), F.col("id").alias("pos"), "title", "wanted", "id")
-    return resolve.pick_hit(both.unionByName(album))
-
-
-def q_json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """Nested pages, made from the rows of every playlist, back to flat rows."""
-    rows = table(spark, d, "playlist_tracks").filter("track_name is not null")
-    return pages.flatten_tracks(pages.as_pages(rows)).select("seq", "track_id", "track_name", "artist_names", "album_name", "duration_ms", "explicit", "popularity", "added_at", "added_by", "spotify_url")
+    """For every manifest row the library file to take, by three looser searches: album and artist, album alone, title alone."""
+    key = lambda c: T.norm_key(F.col(c))
+    m = table(spark, d, "spotify_manifest").select(F.col("row_id").alias("query"), F.col("track_name").alias("wanted"), key("album_name").alias("album_key"), T.norm_key(T.primary_artist(F.col("artist_names"))).alias("act_key"), key("track_name").alias("title_key"))
+    lib = table(spark, d, "library").filter("title is not null").select(F.col("file_id").alias("id"), "title", key("album").alias("album_key"), T.norm_key(T.primary_artist(F.col("artist"))).alias("act_key"), key("title").alias("title_key"))
+    hits = None
+    for n, keys in enumerate((["album_key", "act_key"], ["album_key"], ["title_key"]), 1):
+        named = [F.col(k) != "" for k in keys]
+        asked = m.filter(named[0] & named[-1]).select("query", "wanted", *keys)
+        found = asked.join(lib.select("id", "title", *keys), keys).select("query", F.lit(n).alias("search"), F.col("id").alias("pos"), "title", "wanted", "id")
+        hits = found if hits is None else hits.unionByName(found)
+    return resolve.pick_hit(hits)
 
 
 def q_top_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +163,7 @@ def q_library_totals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     q_on_disk, q_missing, q_existing_counts, q_log_parse, q_reason_union, q_retry_list, q_retry_report, q_failure_class, q_resolve_album, q_resolve_song, q_resolve_warnings, q_resolve_folder,
-    q_resolve_playlist, q_removal, q_stage_actions, q_stage_summary, q_inventory, q_scoped_refresh, q_playlist_select, q_search_pick, q_json_flatten, q_top_ranked, q_library_totals,
+    q_resolve_playlist, q_removal, q_stage_actions, q_stage_summary, q_inventory, q_scoped_refresh, q_search_pick, q_top_ranked, q_library_totals,
 )}
 
 _ext = f"lower({S.extension('path')})"
@@ -211,7 +202,8 @@ SQL = {
     "q_log_parse": f"WITH {_LOG} SELECT url, reason, seq FROM log",
     "q_reason_union": f"WITH {_LOG}, {_REASONS} SELECT url, reasons, first_seq FROM unions",
     "q_retry_list": f"WITH {_STEMS}, {_LOG}, {_REASONS}, {_RETRY} SELECT url, state, artist, track, album FROM split",
-    "q_retry_report": f"WITH {_STEMS}, {_LOG}, {_REASONS}, {_RETRY} SELECT artist, track, album, reasons AS reason, url AS spotify_url, {S.search_url('artist', 'track')} AS search, artist = '' AS no_artist, first_seq FROM split WHERE state <> 'on_disk'",
+    "q_retry_report": f"""WITH {_STEMS}, {_LOG}, {_REASONS}, {_RETRY} SELECT artist, track, album, reasons AS reason, url AS spotify_url, {S.search_url('artist', 'track')} AS search, artist = '' AS no_artist, first_seq,
+  row_number() OVER (ORDER BY artist = '', lower(artist), lower(album), lower(track), first_seq) - 1 AS place FROM split WHERE state <> 'on_disk'""",
     "q_failure_class": """SELECT doc_id, CASE WHEN contains(text, 'Track no longer exists') OR contains(text, 'SongError') THEN 'track_unavailable' WHEN contains(text, ' ERROR ') THEN 'download_failed' WHEN contains(text, 'AudioProviderError') THEN 'AudioProviderError'
   WHEN contains(text, 'LookupError') THEN 'LookupError' WHEN contains(text, 'PermissionError') THEN 'PermissionError' WHEN contains(text, 'No results found') THEN 'No results found' WHEN contains(text, 'YT-DLP download error') THEN 'YT-DLP download error'
   WHEN contains(text, 'returned no usable results') THEN 'returned no usable results' ELSE 'ok' END AS class FROM documents""",
@@ -232,16 +224,15 @@ SELECT path, CASE WHEN path IN (SELECT path FROM rest) THEN 'protected' WHEN pat
     "q_stage_actions": f"WITH {_ACTIONS} SELECT * FROM actions",
     "q_stage_summary": f"""WITH {_ACTIONS}, n AS (SELECT count(*) FILTER (WHERE action = 'copy') AS copied, count(*) FILTER (WHERE action = 'skip') AS skipped, count(*) FILTER (WHERE action = 'overwrite') AS overwritten FROM actions)
 SELECT *, CASE WHEN copied + skipped + overwritten = 0 THEN 'nothing to do' ELSE concat_ws(', ', CASE WHEN copied > 0 THEN concat(copied, ' copied') END, CASE WHEN overwritten > 0 THEN concat(overwritten, ' overwritten') END, CASE WHEN skipped > 0 THEN concat(skipped, ' already present (skipped)') END) END AS said FROM n""",
-    "q_inventory": f"""WITH r AS (SELECT split_part({_np}, '/', 1) AS sub, regexp_replace({S.dirname(_np)}, '^[^/]*/?', '') AS folder, CAST(round_even(length * 40000, 0) AS BIGINT) AS size FROM library),
+    "q_inventory": f"""WITH r AS (SELECT split_part({_np}, '/', 1) AS sub, regexp_replace({S.dirname(_np)}, '^[^/]*/?', '') AS folder, CAST(round_even(length * 40000, 0) AS BIGINT) AS size FROM library WHERE split_part({_np}, '/', 1) IN ('albums', 'singles', 'soundtracks', 'playlists')),
 g AS (SELECT sub, folder, count(*) AS n_files, count(DISTINCT CASE WHEN folder <> '' THEN concat(sub, '/', folder) END) AS n_folders, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY ROLLUP (sub, folder)) SELECT *, {S.size_text('CAST(bytes AS DOUBLE)')} AS size FROM g""",
     "q_scoped_refresh": f"""WITH r AS (SELECT seq, {_BARE('playlist_id')} AS playlist, epoch_us(exported_at) AS us FROM playlist_tracks WHERE exported_at IS NOT NULL), a AS (SELECT *, us - min(us) OVER (PARTITION BY playlist) > 2592000000000 AS late FROM r WHERE playlist <> '')
 SELECT playlist, seq FROM a WHERE late OR playlist NOT IN (SELECT playlist FROM a WHERE late)""",
-    "q_playlist_select": f"""WITH p AS (SELECT DISTINCT {S.strip('id')} AS id, name, owner FROM playlists WHERE {S.strip(S.t('id'))} <> ''), t AS (SELECT playlist_name AS token FROM playlist_tracks UNION SELECT playlist_id FROM playlist_tracks)
-SELECT * FROM p WHERE id IN (SELECT token FROM t WHERE trim(token) <> '') OR lower(trim(name)) IN (SELECT lower(trim(token)) FROM t WHERE trim(token) <> '')""",
-    "q_search_pick": f"""WITH m AS (SELECT row_id AS query, track_name AS wanted, {S.norm_key('album_name')} AS ak, {S.norm_key('track_name')} AS tk FROM spotify_manifest), l AS (SELECT file_id AS id, title, {S.norm_key('album')} AS ak, {S.norm_key('title')} AS tk FROM library WHERE title IS NOT NULL),
-h AS (SELECT query, 1 AS search, id, title, wanted FROM m JOIN l ON m.tk = l.tk WHERE m.tk <> '' UNION ALL SELECT query, 2, id, title, wanted FROM m JOIN l ON m.ak = l.ak WHERE m.ak <> '')
+    "q_search_pick": f"""WITH m AS (SELECT row_id AS query, track_name AS wanted, {S.norm_key('album_name')} AS ak, {S.norm_key(f"coalesce(({S.split_artists('artist_names')})[1], '')")} AS pk, {S.norm_key('track_name')} AS tk FROM spotify_manifest),
+l AS (SELECT file_id AS id, title, {S.norm_key('album')} AS ak, {S.norm_key(f"coalesce(({S.split_artists('artist')})[1], '')")} AS pk, {S.norm_key('title')} AS tk FROM library WHERE title IS NOT NULL),
+h AS (SELECT query, 1 AS search, id, title, wanted FROM m JOIN l ON m.ak = l.ak AND m.pk = l.pk WHERE m.ak <> '' AND m.pk <> '' UNION ALL SELECT query, 2, id, title, wanted FROM m JOIN l ON m.ak = l.ak WHERE m.ak <> ''
+  UNION ALL SELECT query, 3, id, title, wanted FROM m JOIN l ON m.tk = l.tk WHERE m.tk <> '')
 SELECT query, id, title FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY search, CASE WHEN lower(title) = lower(wanted) THEN 0 ELSE 1 END, id) AS n FROM h) WHERE n = 1""",
-    "q_json_flatten": "SELECT seq, coalesce(track_id, '') AS track_id, track_name, coalesce(artist_names, '') AS artist_names, coalesce(album_name, '') AS album_name, duration_ms, explicit, popularity, coalesce(added_at, '') AS added_at, added_by, coalesce(spotify_url, '') AS spotify_url FROM playlist_tracks WHERE track_name IS NOT NULL",
     "q_top_ranked": "SELECT row_id, popularity, track_id FROM spotify_manifest WHERE popularity BETWEEN 0 AND 100 ORDER BY popularity DESC, row_id LIMIT 200",
     "q_library_totals": f"SELECT count(*) AS n_rows, count(DISTINCT {S.norm_key('album')}) AS n_albums FROM library",
 }

@@ -20,7 +20,8 @@ def q_id_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.manifest(_tracks(spark, d)).drop("explicit")
+    """The manifest with the place of every row in it."""
+    return ordering.numbered(dedup.manifest(_tracks(spark, d)), [F.col("sort_title"), F.col("slot")]).withColumnRenamed("code", "place")
 
 
 def q_match_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -66,11 +67,13 @@ def q_playlist_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_m3u_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of every playlist file, one row per line, in order of (seq, part)."""
-    files = table(spark, d, "library").select("file_id", "artist", "title", "length", F.col("path").alias("file_path"))
-    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library")).filter("file_id is not null").drop("path").join(files, "file_id")
-    info = F.concat(F.lit("#EXTINF:"), T.ext_seconds(F.col("length")).cast("string"), F.lit(","), T.entry_label(F.col("artist"), F.col("title")))
-    track = F.when(F.trim("track_id") != "", F.concat(F.lit("#SPOTIFY:"), F.trim("track_id")))
+    """The lines of every playlist file, one row per line, in order of (seq, part): labels are the
+    row's own, lengths and paths the file's."""
+    files = table(spark, d, "library").select("file_id", "length", F.col("path").alias("file_path"))
+    names = _tracks(spark, d).select("seq", "artist_names", "track_name")
+    rows = matching.match_rows(_tracks(spark, d), table(spark, d, "library")).filter("file_id is not null").drop("path").join(files, "file_id").join(names, "seq")
+    info = F.concat(F.lit("#EXTINF:"), T.ext_seconds(F.col("length")).cast("string"), F.lit(","), T.entry_label(F.col("artist_names"), F.col("track_name")))
+    track = F.when(T.strip(F.col("track_id")) != "", F.concat(F.lit("#SPOTIFY:"), T.strip(F.col("track_id"))))
     path = T.relative_path(F.col("file_path"), F.lit("playlists"))
     lines = rows.select("playlist_id", "seq", F.posexplode(F.array(track, info, path)).alias("part", "line"))
     return lines.filter("line is not null").select("playlist_id", "seq", F.col("part").cast("int").alias("part"), "line")
@@ -129,14 +132,18 @@ matches AS (SELECT r.seq, r.playlist_id, r.track_id, CASE b.tier WHEN 1 THEN 'ti
 _MATCH = f"{_HEADS}found AS ({_EXACT}), {_BEST}"
 _CASCADE = f"RECURSIVE {_HEADS}{_FUZZY}found AS ({_EXACT} UNION ALL SELECT * FROM fuzzy), {_BEST}"
 
-SQL = {
-    "q_id_dedup": f"WITH {_ID} SELECT * FROM ids",
-    "q_manifest": f"""WITH {_ID}, keyed AS (SELECT *, {S.fuzzy_key('artist_names', 'track_name')} AS key FROM ids),
+_MANIFEST = f"""{_ID}, keyed AS (SELECT *, {S.fuzzy_key('artist_names', 'track_name')} AS key FROM ids),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(popularity, 0) DESC, first_seq) AS n, count(*) OVER (PARTITION BY key) AS m, min(first_seq) OVER (PARTITION BY key) AS slot FROM keyed),
 united AS (SELECT key, array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(playlist_names, '; '))), lambda x: x <> ''))), '; ') AS names,
-  len(list_distinct(list_filter(flatten(list(string_split(playlist_names, '; '))), lambda x: x <> ''))) AS k FROM keyed GROUP BY key)
-SELECT track_id, track_name, artist_names, album_name, duration_ms, popularity, spotify_url, CASE WHEN m > 1 THEN names ELSE playlist_names END AS playlist_names, playlist_ids,
-  CAST(CASE WHEN m > 1 THEN k ELSE playlist_count END AS INTEGER) AS playlist_count, slot, lower(coalesce(track_name, '')) AS sort_title FROM ranked r JOIN united u ON r.key = u.key WHERE n = 1""",
+  len(list_distinct(list_filter(flatten(list(string_split(playlist_names, '; '))), lambda x: x <> ''))) AS k FROM keyed GROUP BY key),
+manifest AS (SELECT track_id, track_name, artist_names, album_name, duration_ms, explicit, popularity, spotify_url, CASE WHEN m > 1 THEN names ELSE playlist_names END AS playlist_names, playlist_ids,
+  CAST(CASE WHEN m > 1 THEN k ELSE playlist_count END AS INTEGER) AS playlist_count, slot, lower(coalesce(track_name, '')) AS sort_title,
+  row_number() OVER (ORDER BY lower(coalesce(track_name, '')), slot) - 1 AS place FROM ranked r JOIN united u ON r.key = u.key WHERE n = 1)
+"""
+
+SQL = {
+    "q_id_dedup": f"WITH {_ID} SELECT * FROM ids",
+    "q_manifest": f"WITH {_MANIFEST}SELECT * FROM manifest",
     "q_match_exact": f"WITH {_MATCH} SELECT seq, tier, file_id FROM matches",
     "q_match_cascade": f"WITH {_CASCADE} SELECT seq, tier, file_id FROM matches",
     "q_match_summary": f"""WITH {_CASCADE} SELECT playlist_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(file_id) AS BIGINT) AS n_matched FROM matches GROUP BY playlist_id
@@ -152,8 +159,8 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq D
 top AS (SELECT max(seq) AS last FROM a WHERE seq < 1600000000000000)
 SELECT a.id, CASE WHEN a.seq < 1600000000000000 THEN a.seq ELSE last + 1 + b.seq END AS place, b.name, b.owner, b.track_count FROM a JOIN b ON a.id = b.id CROSS JOIN top WHERE a.seq < b.seq OR a.seq >= 1600000000000000
 UNION ALL SELECT a.id, a.seq, a.name, a.owner, a.track_count FROM a JOIN b ON a.id = b.id WHERE a.seq = b.seq AND a.seq < 1600000000000000""",
-    "q_m3u_lines": f"""WITH {_CASCADE} , m AS (SELECT x.playlist_id, x.seq, trim(x.track_id) AS track_id, l.artist, l.title, l.length, l.path FROM matches x JOIN library l ON x.file_id = l.file_id)
+    "q_m3u_lines": f"""WITH {_CASCADE} , m AS (SELECT x.playlist_id, x.seq, {S.strip('x.track_id')} AS track_id, p.artist_names, p.track_name, l.length, l.path FROM matches x JOIN library l ON x.file_id = l.file_id JOIN playlist_tracks p ON x.seq = p.seq)
 SELECT playlist_id, seq, 0 AS part, concat('#SPOTIFY:', track_id) AS line FROM m WHERE track_id <> ''
-UNION ALL SELECT playlist_id, seq, 1, concat('#EXTINF:', CAST({S.ext_seconds('length')} AS VARCHAR), ',', {S.entry_label('artist', 'title')}) FROM m
+UNION ALL SELECT playlist_id, seq, 1, concat('#EXTINF:', CAST({S.ext_seconds('length')} AS VARCHAR), ',', {S.entry_label('artist_names', 'track_name')}) FROM m
 UNION ALL SELECT playlist_id, seq, 2, concat('../', {S.normal_path('path')}) FROM m""",
 }

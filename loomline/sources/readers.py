@@ -48,49 +48,83 @@ def sniffed(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     return sep, [name.strip().lstrip("﻿") for name in next(csv.reader([head], delimiter=sep), [])]
 
 
+def file_order():
+    """The place of a row over all files of a read: file name, block of the file, row of the block."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def _csv_columns(spark: SparkSession, path: str, wanted: list[str], needed: set[str]) -> DataFrame | None:
+    """``wanted`` as stripped text ('' where the file lacks a column) and ``at``; None without the ``needed`` columns."""
+    sep, names = sniffed(spark, path)
+    if not needed <= set(names):
+        return None
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+    rows = read_csv(spark, path, schema, sep)
+    cells = [(T.strip(T.text(F.col(f"c{names.index(c)}"))) if c in names else F.lit("")).alias(c) for c in wanted]
+    return rows.select(*cells, file_order().alias("at"))
+
+
 def read_metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(url, artist, track, album) of CSV files of any separator, in order of their names; the first row of a url counts.
 
     A file without the columns track_name and artist_names counts as empty.
     """
-    wanted = ["spotify_url", "artist_names", "track_name", "album_name"]
-    out = spark.createDataFrame([], "url string, artist string, track string, album string, file int, row long")
+    out = spark.createDataFrame([], "url string, artist string, track string, album string, seq struct<n:int,at:struct<file:string,block:bigint,row:bigint>>")
     for n, path in enumerate(sorted(p for p in paths if _there(spark, p))):
-        sep, names = sniffed(spark, path)
-        if not {"track_name", "artist_names"} <= set(names):
-            continue
-        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-        rows = read_csv(spark, path, schema, sep).toDF(*[f"{x}#{i}" if names.index(x) != i else x for i, x in enumerate(names)])
-        cells = [T.strip(T.text(F.col(c))) if c in names else F.lit("") for c in wanted]
-        out = out.unionByName(rows.select(*[c.alias(a) for c, a in zip(cells, ("url", "artist", "track", "album"), strict=True)], F.lit(n).alias("file"), F.monotonically_increasing_id().alias("row")))
-    ordered = out.filter("url <> ''").withColumn("seq", F.struct("file", "row"))
-    return first_seen(ordered, ["url"], "seq").select("url", "artist", "track", "album")
+        rows = _csv_columns(spark, path, ["spotify_url", "artist_names", "track_name", "album_name"], {"track_name", "artist_names"})
+        if rows is not None:
+            rows = rows.withColumnsRenamed({"spotify_url": "url", "artist_names": "artist", "track_name": "track", "album_name": "album"})
+            out = out.unionByName(rows.withColumn("seq", F.struct(F.lit(n).alias("n"), "at")).drop("at"))
+    return first_seen(out.filter("url <> ''"), ["url"], "seq").select("url", "artist", "track", "album")
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """(url, seq): the lines of a text file, or the spotify_url column of a CSV file; blank ones dropped, the first of equal ones kept."""
+    """(url, seq): the lines of a text file, or the spotify_url column of a CSV file; blank ones dropped, the first of equal ones kept. ``seq`` orders them."""
     if not _there(spark, path):
-        return spark.createDataFrame([], "url string, seq long")
-    if path.endswith(".csv"):
-        sep, names = sniffed(spark, path)
-        if "spotify_url" not in names:
-            return spark.createDataFrame([], "url string, seq long")
-        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-        lines = read_csv(spark, path, schema, sep).select(F.col(f"c{names.index('spotify_url')}").alias("value"))
+        return spark.createDataFrame([], "url string, seq struct<file:string,block:bigint,row:bigint>")
+    if path.lower().endswith(".csv"):
+        rows = _csv_columns(spark, path, ["spotify_url"], {"spotify_url"})
+        if rows is None:
+            return spark.createDataFrame([], "url string, seq struct<file:string,block:bigint,row:bigint>")
+        lines = rows.select(F.col("spotify_url").alias("url"), F.col("at").alias("seq"))
     else:
-        lines = spark.read.text(path)
-    rows = lines.select(T.strip(T.text(F.col("value"))).alias("url"), F.monotonically_increasing_id().alias("seq")).filter("url <> ''")
-    return first_seen(rows, ["url"], "seq")
+        lines = spark.read.text(path).select(T.strip(T.text(F.col("value"))).alias("url"), file_order().alias("seq"))
+    return first_seen(lines.filter("url <> ''"), ["url"], "seq")
+
+
+#: Fixed value: the file of a folder that is read instead of all its CSV files.
+MANIFEST_FILE = "spotify_manifest.csv"
+
+
+def read_source(spark: SparkSession, path: str) -> DataFrame:
+    """(url, seq) of what a path names: of a folder its manifest, or else all its CSV files by name; of a file as ``read_urls``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    if path.lower().endswith(".csv") or not fs.getFileStatus(p).isDirectory():
+        return read_urls(spark, path)
+    entries = sorted(s.getPath().getName() for s in fs.listStatus(p))
+    if MANIFEST_FILE in entries:
+        return read_urls(spark, f"{path}/{MANIFEST_FILE}")
+    tables = [e for e in entries if e.lower().endswith(".csv")]
+    if not tables:  # a folder of text parts
+        return read_urls(spark, path)
+    parts = [read_urls(spark, f"{path}/{e}") for e in tables]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return first_seen(every, ["url"], "seq")
 
 
 def read_failure_log(spark: SparkSession, soft: str, failed: str) -> DataFrame:
     """(url, reason, seq) of both logs, the soft one first."""
     from ..operators.existence import failure_log
 
-    out = spark.createDataFrame([], "url string, reason string, seq long")
+    out = spark.createDataFrame([], "url string, reason string, seq struct<n:int,at:struct<file:string,block:bigint,row:bigint>>")
     for n, path in enumerate((soft, failed)):
         if _there(spark, path):
-            lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id() + F.lit(n) * F.lit(1 << 60))
+            lines = spark.read.text(path).select("value", F.struct(F.lit(n).alias("n"), file_order().alias("at")).alias("seq"))
             out = out.unionByName(failure_log(lines, "value", "seq"))
     return out
 
@@ -105,8 +139,9 @@ def read_catalog(spark: SparkSession, path: str, schema: StructType | str) -> Da
 def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str = "*") -> DataFrame:
     """(path, size) of the files under ``root``, relative to it; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    relative = F.regexp_replace(F.col("path"), f"^(?:[a-z]+:)?/*{base}/".replace("//", "/"), "")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath().rstrip("/") + "/"
+    relative = F.substring(F.col("path"), F.position(F.lit(base), F.col("path")) + F.lit(len(base)), F.length("path"))
     return files.select(relative.alias("path"), F.col("length").alias("size"))
 
 
@@ -133,17 +168,23 @@ def read_tags(files: DataFrame, root: str) -> DataFrame:
 
 
 def playlist_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, line) of playlist files."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"), T.strip(T.text(F.col("value"))).alias("line"))
+    """(stem, seq, line) of the playlists below ``path``, as they are written; ``seq`` orders the lines of one."""
+    lines = spark.read.schema("value string, stem string").text(path).select("stem", file_order().alias("seq"), T.strip(T.text(F.col("value"))).alias("line"))
     return lines.filter("line <> ''")
 
 
 def playlist_ids(lines: DataFrame) -> DataFrame:
-    """(file, seq, track_id): the ids that playlist files carry, in order."""
-    ids = lines.filter(F.col("line").startswith("#SPOTIFY:")).select("file", "seq", T.strip(F.substring("line", len("#SPOTIFY:") + 1, 1 << 30)).alias("track_id"))
+    """(stem, seq, track_id): the ids that playlist files carry, in order."""
+    ids = lines.filter(F.col("line").startswith("#SPOTIFY:")).select("stem", "seq", T.strip(F.substring("line", len("#SPOTIFY:") + 1, 1 << 30)).alias("track_id"))
     return ids.filter("track_id <> ''")
 
 
 def playlist_paths(lines: DataFrame, folder: str = "playlists") -> DataFrame:
-    """(file, seq, path): what playlist files list, relative to the library."""
-    return lines.filter(~F.col("line").startswith("#")).select("file", "seq", T.normal_path(F.concat(F.lit(folder + "/"), "line")).alias("path"))
+    """(stem, seq, path): what playlist files list, relative to the library."""
+    return lines.filter(~F.col("line").startswith("#")).select("stem", "seq", T.normal_path(F.concat(F.lit(folder + "/"), "line")).alias("path"))
+
+
+def split_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``paths`` (path, ...) with ``exists``: whether the library has the file (path)."""
+    there = files.select(T.normal_path(F.col("path")).alias("path")).distinct().withColumn("there", F.lit(True))
+    return paths.join(there, "path", "left").withColumn("exists", F.coalesce("there", F.lit(False))).drop("there")

@@ -16,3 +16,8 @@ RANKED_ALBUMS = "rank int, title string, artist string, year string, album_id st
 LIBRARY = "artist string, albumartist string, album string, track string, title string, year string, path string"
 UNMATCHED = ["playlist_name", "track_id", "track_name", "artist_names", "album_name", "tier_tried", "spotify_url"]
 RETRY_REPORT = ["artist", "track", "album", "reason", "spotify_url", "search"]
+
+
+def names(ddl: str) -> list[str]:
+    """The column names of a schema."""
+    return [part.split()[0] for part in ddl.split(",")]

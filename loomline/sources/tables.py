@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,11 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that one query writes and reads again, in the shared checkpoint folder."""
+    return f"{shared_checkpoint_dir(spark)}/exchange-{uuid.uuid4().hex}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder: later reads survive lost executors."""
     shared_checkpoint_dir(df.sparkSession)

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.sources import readers, schemas, writers
@@ -58,15 +59,47 @@ def test_logs_and_catalog(spark, tmp_path):
 
 
 def test_playlist_files(spark, tmp_path):
-    lines = spark.createDataFrame([("My/Mix", 1, 0, "#SPOTIFY:t1"), ("My/Mix", 1, 1, "#EXTINF:1,a"), ("My/Mix", 1, 2, "../albums/x.mp3"), ("MyMix", 0, 2, "../old.mp3")], "name string, seq long, part int, line string")
-    writers.write_playlists(lines, str(tmp_path / "pl"), "name")
+    rows = [("p1", "My/Mix", 1, 0, "#SPOTIFY:t1"), ("p1", "My/Mix", 1, 1, "#EXTINF:1,a"), ("p1", "My/Mix", 1, 2, "../albums/x.mp3"), ("p0", "MyMix", 0, 2, "../old.mp3"), ("p2", "007", 5, 2, "../lost.mp3")]
+    lines = spark.createDataFrame(rows, "pid string, name string, seq long, part int, line string")
+    writers.write_playlists(lines, str(tmp_path / "pl"), "pid", "name")
     text = open(only_file(tmp_path / "pl" / "stem=MyMix", ".txt")).read()
     assert text == "#EXTM3U\n#SPOTIFY:t1\n#EXTINF:1,a\n../albums/x.mp3\n"
-    back = readers.playlist_lines(spark, str(tmp_path / "pl" / "stem=MyMix"))
-    assert [r.track_id for r in readers.playlist_ids(back).collect()] == ["t1"] and [r.path for r in readers.playlist_paths(back).collect()] == ["albums/x.mp3"]
-    (tmp_path / "lib" / "a").mkdir(parents=True)
-    (tmp_path / "lib" / "a" / "x.mp3").write_bytes(b"123")
-    assert [(r.path, r["size"]) for r in readers.list_files(spark, str(tmp_path / "lib")).collect()] == [("a/x.mp3", 3)]
+    back = readers.playlist_lines(spark, str(tmp_path / "pl"))
+    assert [(r.stem, r.track_id) for r in readers.playlist_ids(back).collect()] == [("MyMix", "t1")]
+    files = spark.createDataFrame([("albums/./x.mp3",)], "path string")
+    assert {(r.stem, r.path, r.exists) for r in readers.split_paths(readers.playlist_paths(back), files).collect()} == {("MyMix", "albums/x.mp3", True), ("007", "lost.mp3", False)}
+    (tmp_path / "lib (1)" / "a").mkdir(parents=True)
+    (tmp_path / "lib (1)" / "a" / "x.mp3").write_bytes(b"123")
+    assert [(r.path, r["size"]) for r in readers.list_files(spark, str(tmp_path / "lib (1)")).collect()] == [("a/x.mp3", 3)]
+
+
+def test_tags_come_from_the_tag_reader(spark, tmp_path):
+    """The reader of audio tags is a package that need not be there: a stand-in shows what is made of its answers."""
+    (tmp_path / "mediafile.py").write_text(
+        "class MediaFile:\n    def __init__(self, path):\n        lines = open(path).read().split('|')\n        self.artist, self.title = lines[0], lines[1]\n        self.albumartist = self.album = self.track = None\n        self.length = 2.5\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "mediafile.py"))
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "a.mp3").write_text("Ann|One")
+    (tmp_path / "root" / "b.mp3").write_text("broken")
+    (tmp_path / "root" / "c.txt").write_text("Ann|Two")
+    rows = readers.read_tags(readers.list_files(spark, str(tmp_path / "root")), str(tmp_path / "root")).collect()
+    assert [(os.path.basename(r.path), r.artist, r.albumartist, r.title, r.track, r.length) for r in rows] == [("a.mp3", "Ann", "", "One", 0, 2.5)]
+
+
+def test_sources_and_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(3, "t3", "u3"), (1, "t1", "u1"), (2, "t2", ""), (4, "t1", "u1")], "seq long, track_id string, spotify_url string")
+    writers.write_export(rows, str(tmp_path / "d"), "x", ["track_id", "spotify_url"], "seq", distinct=True)
+    urls = readers.read_urls(spark, str(tmp_path / "d" / "x_urls.txt"))
+    assert [r.url for r in urls.orderBy("seq").collect()] == ["u1", "u3"]
+    assert {r.url for r in readers.read_source(spark, str(tmp_path / "d")).collect()} == {"u1", "u3"}
+    writers.write_export(rows.filter("seq = 3"), str(tmp_path / "d"), "spotify_manifest", ["track_id", "spotify_url"], "seq")
+    assert {r.url for r in readers.read_source(spark, str(tmp_path / "d")).collect()} == {"u3"}
+    with pytest.raises(FileNotFoundError):
+        readers.read_source(spark, str(tmp_path / "none"))
+    blank = spark.createDataFrame([(" x ", "")], "a string, b string")
+    writers.write_csv(blank, str(tmp_path / "b.csv"), one_file=True)
+    assert open(only_file(tmp_path / "b.csv", ".csv")).read() == "a,b\n x ,\n"
 
 
 def test_streams(spark, tmp_path):

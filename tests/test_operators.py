@@ -200,6 +200,11 @@ def test_resolve_and_remove(spark):
     assert inv == {("albums", "a"): (2, 1, 30, "30 B"), ("singles", ""): (1, 0, 5, "5 B"), ("albums", None): (2, 1, 30, "30 B"), ("singles", None): (1, 0, 5, "5 B"), (None, None): (3, 1, 35, "35 B")}
     plan = resolve.collect_plan(spark.createDataFrame([("r/a", 0, 1), ("r/./a", 1, 0), ("q/b", 0, 0)], "path string, bucket int, seq long"), "r")
     assert [(r.rel, r.bucket) for r in plan.collect()] == [("a", 0)]
+    rels = lambda *p: spark.createDataFrame([(x,) for x in p], "rel string")
+    staged = resolve.stage_actions(rels("a", "b", "c"), rels("a"), link=True, source=rels("a", "b"))
+    assert {(r.rel, r.action) for r in staged.collect()} == {("a", "skip"), ("b", "link"), ("c", "error")}
+    back = resolve.unstage_actions(rels("a.mp3", "b.mp3", "p.m3u8", "q.m3u", "a.mp3"), rels("a.mp3", "b.mp3", "p.m3u8"), rels("b.mp3", "p.m3u8"))
+    assert {(r.rel, r.action) for r in back.collect()} == {("a.mp3", "removed"), ("b.mp3", "protected"), ("p.m3u8", "m3u8_removed"), ("q.m3u", "missing")}
     acts = resolve.stage_actions(plan, spark.createDataFrame([("a",)], "rel string"), overwrite=True)
     assert [(r.rel, r.action) for r in acts.collect()] == [("a", "overwrite")]
 
@@ -211,8 +216,17 @@ def test_pages(spark):
     lists = '{"items":[{"id":"1","owner":{"id":"me","display_name":"Me"},"tracks":{"total":3}},{"id":"2","owner":{"id":"x"}}]}'
     df = spark.createDataFrame([(lists,)], "json string")
     assert [(r.id, r.owner, r.track_count) for r in pages.flatten_playlists(df, owner="me").collect()] == [("1", "Me", 3)] and pages.flatten_playlists(df).count() == 2
-    albums = spark.createDataFrame([('{"tracks":{"items":[{"id":"a","name":"n","artists":[{"name":"Q"}]}]}}', "L"), ('{"items":[{"id":"b","name":"m","artists":[]}]}', "L")], "json string, album string")
-    assert {(r.track_id, r.artist_names, r.album_name) for r in pages.flatten_album_tracks(albums, "json", "album").collect()} == {("a", "Q", "L"), ("b", "", "L")}
+    first = '{"name":"Long","tracks":{"items":[{"id":"a","name":"n","artists":[{"name":"Q"}],"duration_ms":5,"explicit":true,"external_urls":{"spotify":"ua"}},{"id":"c","name":"no link"}]}}'
+    later = '{"items":[null,{"id":"b","name":"m","artists":[],"external_urls":{"spotify":"ub"}},{"id":"a2","name":"n","external_urls":{"spotify":"ua"}}]}'
+    albums = spark.createDataFrame([("al9", 0, first), ("al9", 1, later), ("al8", 0, first), ("al7", 0, "no json")], "album string, page_no long, json string")
+    rows = pages.flatten_album_tracks(albums.filter("album = 'al9'"), "json", "album", "page_no").orderBy("page_no", "pos").collect()
+    assert [(r.track_id, r.artist_names, r.album_name, r.duration_ms, r.explicit, r.popularity, r.spotify_url) for r in rows] == [
+        ("a", "Q", "Long", 5, True, 0, "ua"), ("b", "", "Long", 0, False, 0, "ub"), ("a2", "", "Long", 0, False, 0, "ua"),
+    ]
+    ranked = spark.createDataFrame([(2, "https://h/album/al8"), (1, "s:album:al9"), (3, "bad")], "rank int, spotify_url string")
+    assert {(r.track_id, r.spotify_url) for r in pages.expand_albums(ranked, albums).collect()} == {("a", "ua"), ("b", "ub")}
+    saved = pages.flatten_saved(spark.createDataFrame([('{"items":[{"track":{"id":"t"},"seq":1},{"track":null}]}',)], "json string"))
+    assert [(r.playlist_id, r.playlist_name, r.track_id) for r in saved.collect()] == [("liked_songs", "Liked Songs", "t")]
 
 
 def test_small_picks(spark):
@@ -222,8 +236,13 @@ def test_small_picks(spark):
     assert {(r.query, r.id) for r in resolve.pick_hit(hits).collect()} == {("x", 3), ("y", 4)}
     old, new = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), spark.createDataFrame([("b", 3)], "id string, v int")
     assert {tuple(r) for r in resolve.scoped_refresh(old, new, "id").collect()} == {("a", 1), ("b", 3)}
-    lists = spark.createDataFrame([("1", "One"), ("2", "Two"), ("3", " one ")], "id string, name string")
-    assert {r.id for r in resolve.selected_playlists(lists, spark.createDataFrame([("ONE",), ("2",)], "token string")).collect()} == {"1", "2", "3"}
+    ids = [f"{n}" * 22 for n in range(1, 5)]
+    lists = spark.createDataFrame([(ids[0], "One", "me"), (ids[1], "Two", "x"), (ids[2], "one", "me"), (ids[3], "Two", None), (ids[3], "Two", None)], "id string, name string, owner string")
+    tokens = spark.createDataFrame([("One",), (f"https://h/playlist/{ids[1]}?si=1",), (ids[3],), ("gone",), ("Two ",)], "token string")
+    pick = lambda **how: sorted(r.id for r in resolve.selected_playlists(lists, **how).collect())
+    assert pick(tokens=tokens) == [ids[0], ids[1], ids[3], ids[3]] and pick(every=True, owner="me") == sorted([*ids, ids[3]]) and pick(owner="me") == [ids[0], ids[2]] and len(pick()) == 5
+    fetched = {(r.token, r.id) for r in resolve.fetch_list(tokens, lists.withColumn("seq", F.monotonically_increasing_id())).collect()}
+    assert {("One", ids[0]), (ids[3], ids[3]), ("gone", None), ("Two ", None)} <= fetched
     entries = spark.createDataFrame([("p1", "Mix", "a"), ("p1", "Mix", "b"), ("p2", "mix!", "c")], "playlist string, name string, path string")
     found = resolve.resolve_playlists(spark.createDataFrame([("MIX",)], "spec string"), entries, spark.createDataFrame([("a",)], "path string"))
     assert {(r.playlist, r.path, r.exists) for r in found.collect()} == {("p1", "a", True), ("p1", "b", False), ("p2", "c", False)}
@@ -287,3 +306,45 @@ def test_like_titles_meet_where_all_pairs_would(spark, monkeypatch):
     assert all(a[:4] == b[:4] for a, b in met) and len(met) < len(titles) ** 2 / 3
     none = rows.filter("1 = 0")
     assert matching.like_titles(none.select(F.col("t").alias("q_nt")), rows.select(F.col("t").alias("c_nt"))).isEmpty()
+
+
+def test_albums_with_inner_folders(spark):
+    """An album of two discs is one album; its first file is one right in the folder; pruned folders are no files."""
+    rows = [
+        (1, "a", "Ann", "Red", "1", "One", "albums/X/CD1/1.mp3", 1.0), (2, "a", "Ann", "Red", "1", "Two", "albums/X/CD2/1.mp3", 1.0), (3, "a", "Bea", "Red", "1", "Zed", "albums/X/z.mp3", 1.0),
+        (4, "a", "Eve", "Blue", "1", "P", "albums/Y/__pycache__/p.mp3", 1.0), (5, "a", "Eve", "Loose", "1", "Q", "albums/q.mp3", 1.0),
+        (6, "Bea", "Bea", "Red", "1", "two", "incoming/t.mp3", 1.0), (7, "Bea", "Bea", "Red", "2", "New", "incoming/n.mp3", 1.0),
+    ]
+    library = spark.createDataFrame(rows, LIBRARY)
+    found = canonical.existing_albums(library).collect()
+    assert [(r.aa_key, r.album_key, r.n_folders, r.folder, r.existing_aa) for r in found] == [("bea", "red", 1, "albums/X", "Bea")]
+    plan = album_plans.stage_plan(library.filter("path like 'incoming/%'"), library)
+    assert {(r.seq, r.outcome, r.dst) for r in plan.collect()} == {(6, "duplicate", None), (7, "merge", "albums/X/02 - Bea - New.mp3")}
+
+
+def test_library_actions(spark):
+    plan = spark.createDataFrame(
+        [("in/a/x.mp3", "albums/A/x.mp3", True, "Ann", True), ("in/b/y.mp3", "in/b/y.mp3", False, None, False), ("old/z.mp3", "albums/A/z.mp3", True, "Ann", False)],
+        "path string, dst string, move boolean, albumartist string, tag_write boolean",
+    )
+    got = {tuple(r) for r in album_plans.library_actions(plan).collect()}
+    assert got == {("move", "in/a/x.mp3", "albums/A/x.mp3"), ("move", "old/z.mp3", "albums/A/z.mp3"), ("tag", "albums/A/x.mp3", "Ann"), ("prune", "in/a", None), ("prune", "old", None)}
+    few = album_plans.shown(plan.select("path"), [F.col("path")], 2).collect()
+    assert [(r.path, r.n_more) for r in few] == [("in/a/x.mp3", 1), ("in/b/y.mp3", 1)]
+
+
+def test_targets_are_resolved_and_expanded(spark):
+    library = spark.createDataFrame(FILES, LIBRARY)
+    specs = spark.createDataFrame([(3, "album", "Ann - Red"), (1, "album", "albums/Ann - Red"), (2, "song", "Night Drive"), (4, "playlist", "Mix"), (5, "opera", "x"), (6, "soundtrack", "nowhere")], "seq long, kind string, spec string")
+    entries = spark.createDataFrame([("p1", "Mix", "albums/Ann - Red/01.mp3"), ("p1", "Mix", "gone.mp3")], "playlist string, name string, path string")
+    targets, warned = resolve.resolve_targets(specs, library, entries)
+    got = {(r.bucket, r.target, r.seq) for r in targets.collect()}
+    assert ("folders", "albums/Ann - Red", 1) in got and ("m3u8", "p1", 4) in got and ("files", "albums/Ann - Red/01.mp3", 2) in got
+    said = {(r.kind, r.warning) for r in warned.collect()}
+    assert ("opera", "unknown kind opera") in said and ("playlist", "p1: 1 track(s) not there (skipped)") in said and ("soundtrack", "no match for nowhere") in said
+    items = resolve.expanded(targets, library)
+    first = {r.path: r.bucket for r in resolve.collect_plan(items.withColumn("path", F.concat(F.lit("r/"), "path")), "r").select(F.col("rel").alias("path"), "bucket").collect()}
+    assert first["albums/Ann - Red/01.mp3"] == 0 and first["p1"] == 2
+    spec = lambda *s: spark.createDataFrame([(x,) for x in s], "spec string")
+    assert resolve.needs_catalog("album", spec("Gold"), library) and not resolve.needs_catalog("album", spec("Ann - Red", "albums/Ann - Red"), library)
+    assert not resolve.needs_catalog("playlist", spec("x"), library) and resolve.needs_catalog("song", spec("x"), library) and not resolve.needs_catalog("song", spec("x.mp3"), library)
