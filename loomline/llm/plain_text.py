@@ -29,18 +29,32 @@ from pyspark.sql import functions as F
 from .codepoints import borders_of, from_code_points, row_of, to_code_points
 
 SIZE = 0x110000
-LATIN, CYRILLIC, GREEK, OTHER = 1, 2, 3, 4
-
-#: Letters of Cyrillic and Greek beside the Latin letters that look like them.
+#: Scripts with look-alikes. Further scripts are numbered behind them in order of code points.
+LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, LISU = range(1, 8)
+TABLED = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU")
+#: First words of the names of letters that are of no script by themselves, or of scripts that are
+#: written side by side within words (East Asian ones); and the least letters that make a script.
+NO_SCRIPT = frozenset("CJK HIRAGANA KATAKANA KATAKANA-HIRAGANA HALFWIDTH FULLWIDTH HANGUL BOPOMOFO IDEOGRAPHIC MODIFIER MATHEMATICAL DOUBLE-STRUCK SCRIPT BLACK-LETTER CIRCLED SQUARED".split())
+LEAST_LETTERS = 16
+#: Letters beyond this code point have no look-alikes.
+LOOKS = 0x10000
+
+#: Letters of other scripts beside the Latin letters that look like them.
 CYRILLIC_AS_LATIN = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԚQ ԜW ӀI аa еe ѕs іi јj кk оo рp сc уy хx үy һh ԁd ԛq ԝw ӏl"
 )
+ARMENIAN_AS_LATIN = "ՏS ՍU ՕO ԼL օo սu ոn հh ցg զq աw յj"
+CHEROKEE_AS_LATIN = "ᎠD ᎡR ᎢT Ꭵi ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG Ꮒh ᏃZ ᏌU Ꮟb ᏒR ᏔW ᏕS ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK Ꮷd ᏳG ᏴB"
+COPTIC_AS_LATIN = "ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc ⲓi"
+LISU_AS_LATIN = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
 GREEK_AS_LATIN = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϳj αa γy ιi κk νv οo ρp υu χx ϲc"
 #: Kinds of compatibility form that show the same letters.
 SAME_LETTERS = {"<wide>", "<narrow>", "<font>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<square>"}
 #: Blocks whose letters need joiners, and the emoji blocks.
 JOINING = ((0x0600, 0x0900), (0x0900, 0x0E00), (0x0F00, 0x1100), (0x1780, 0x1800), (0x1800, 0x18B0))
 EMOJI = ((0x203C, 0x2050), (0x2122, 0x2123), (0x2139, 0x213A), (0x2190, 0x2200), (0x2300, 0x2400), (0x2460, 0x2500), (0x25A0, 0x2C00), (0x3030, 0x3031), (0x303D, 0x303E), (0x3297, 0x329A), (0x1F000, 0x1FB00))
+#: Letters that are written so in their scripts, though they have a compatibility decomposition (Armenian, Thai, Lao).
+KEPT_FORMS = "\u0587\u0e33\u0eb3\u0edc\u0edd"
 ZWNJ, ZWJ, VS15, VS16, KEYCAP = 0x200C, 0x200D, 0xFE0E, 0xFE0F, 0x20E3
 
 
@@ -62,6 +76,7 @@ class Tables:
         self.joining = np.zeros(SIZE, bool)
         self.ideograph = np.zeros(SIZE, bool)
         self.touch = np.zeros(SIZE, bool)
+        named = {}
         pool: list[int] = []
         pairs: list[tuple[int, int]] = []
         for cp in (*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)):
@@ -71,7 +86,7 @@ class Tables:
                 continue
             self.order[cp] = unicodedata.combining(c)
             if kind[0] == "L":
-                self._letter(cp, c)
+                named.setdefault(unicodedata.name(c, "").partition(" ")[0], []).append(cp)
             self.in_word[cp] = kind[0] in "LM"
             if kind == "Zs" or cp in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029):
                 self.single[cp] = 0x20
@@ -79,7 +94,7 @@ class Tables:
                 # Arabic number signs and Egyptian joiners are format characters that show
                 self.invisible[cp] = not (0x0600 <= cp <= 0x0605 or cp in (0x06DD, 0x070F, 0x08E2) or 0x110BD <= cp <= 0x110CD or 0x13430 <= cp <= 0x1345F)
             shape = unicodedata.decomposition(c)
-            if 0xAC00 <= cp < 0xD7A4 or (shape and not self.invisible[cp] and self.single[cp] == cp and c not in GREEK_AS_LATIN):
+            if 0xAC00 <= cp < 0xD7A4 or (shape and not self.invisible[cp] and self.single[cp] == cp and c not in GREEK_AS_LATIN and c not in KEPT_FORMS):
                 full = self._expanded(c, shape, kind)
                 if full != c:
                     self.length[cp], self.offset[cp] = len(full), len(pool)
@@ -92,6 +107,7 @@ class Tables:
             elif composed and shape and shape[0] != "<" and " " in shape:
                 first, second = (int(x, 16) for x in shape.split())
                 pairs.append(((first << 21) | second, cp))
+        self._scripts(named)
         for low, high in EMOJI:
             self.emoji[low:high] = True
         for low, high in JOINING:
@@ -107,7 +123,7 @@ class Tables:
         self.looks = self._look_alikes()
         # a row without any of these stays as it is; a mark, or a letter that joins the one before, may compose
         self.touch = self.invisible | (self.single != np.arange(SIZE)) | (self.order > 0) | self.second
-        self.touch |= (self.script == CYRILLIC) | (self.script == GREEK)
+        self.touch |= self.script > LATIN
         changes = np.flatnonzero(self.length > 1).tolist() + [c for c in np.flatnonzero(self.offset > 0) if self.length[c] == 1]
         for cp in changes:
             self.touch[cp] |= unicodedata.normalize("NFC", "".join(map(chr, self._spread(cp)))) != chr(cp)
@@ -117,9 +133,11 @@ class Tables:
     def _spread(self, cp: int) -> np.ndarray:
         return self.pool[self.offset[cp] : self.offset[cp] + self.length[cp]]
 
-    def _letter(self, cp: int, c: str) -> None:
-        name = unicodedata.name(c, "")
-        self.script[cp] = LATIN if name.startswith("LATIN") else CYRILLIC if name.startswith("CYRILLIC") else GREEK if name.startswith("GREEK") else OTHER
+    def _scripts(self, named: dict[str, list[int]]) -> None:
+        """The script of every letter, by the first word of its name: the tabled ones, then any other."""
+        others = [n for n, cps in named.items() if n and n not in TABLED and n not in NO_SCRIPT and len(cps) >= LEAST_LETTERS]
+        for number, name in enumerate((*TABLED, *others), 1):
+            self.script[named[name]] = number
 
     @staticmethod
     def _expanded(c: str, shape: str, kind: str) -> str:
@@ -130,16 +148,19 @@ class Tables:
 
     @staticmethod
     def _look_alikes() -> np.ndarray:
-        """looks[s][c]: the letter of script s that looks like c, or 0."""
-        looks = np.zeros((4, SIZE), np.uint32)
-        for script, listed in ((CYRILLIC, CYRILLIC_AS_LATIN), (GREEK, GREEK_AS_LATIN)):
-            for foreign, latin in listed.split():
+        """looks[s][c]: the letter of tabled script s that looks like c, or 0. The first letter listed for a Latin one counts."""
+        looks = np.zeros((len(TABLED) + 1, LOOKS), np.uint32)
+        listed = {CYRILLIC: CYRILLIC_AS_LATIN, GREEK: GREEK_AS_LATIN, ARMENIAN: ARMENIAN_AS_LATIN, CHEROKEE: CHEROKEE_AS_LATIN, COPTIC: COPTIC_AS_LATIN, LISU: LISU_AS_LATIN}
+        for script, pairs in listed.items():
+            for foreign, latin in pairs.split():
                 looks[LATIN][ord(foreign)] = ord(latin)
                 if not looks[script][ord(latin)]:
                     looks[script][ord(latin)] = ord(foreign)
-        for a, b, listed in ((CYRILLIC, GREEK, GREEK_AS_LATIN), (GREEK, CYRILLIC, CYRILLIC_AS_LATIN)):
-            for foreign, latin in listed.split():
-                looks[a][ord(foreign)] = looks[a][ord(latin)]
+        for script in listed:
+            for other, pairs in listed.items():
+                if other != script:
+                    for foreign, _ in pairs.split():
+                        looks[script][ord(foreign)] = looks[script][looks[LATIN][ord(foreign)]]
         return looks
 
 
@@ -201,11 +222,13 @@ def _ordered(t: Tables, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _one_script(t: Tables, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Look-alikes of another script within a word replaced; and which code points lie in a word that mixes scripts."""
+    """Look-alikes of another script within a word replaced; and which code points lie in a word that mixes scripts.
+
+    Any two scripts are a mixture; letters are replaced between scripts that have a table.
+    """
     script = t.script[points]
-    foreign = (script == CYRILLIC) | (script == GREEK)
     mixed_at = np.zeros(len(points), bool)
-    if not foreign.any():
+    if not (script > LATIN).any():
         return points, mixed_at
     inside = t.in_word[points]
     border = ~inside
@@ -213,19 +236,25 @@ def _one_script(t: Tables, points: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     border[:1] = True
     word = np.cumsum(border) - 1
     n = int(word[-1]) + 1
-    own = np.stack([np.bincount(word[script == s], minlength=n) for s in (LATIN, CYRILLIC, GREEK)])
-    mixed = (own > 0).sum(axis=0) > 1
+    letters = np.flatnonzero(script)
+    first = np.flatnonzero(np.diff(word[letters], prepend=-1))
+    low, high = np.minimum.reduceat(script[letters], first), np.maximum.reduceat(script[letters], first)
+    mixed = np.zeros(n, bool)
+    mixed[word[letters[first[low != high]]]] = True
     if not mixed.any():
         return points, mixed_at
     mixed_at = mixed[word] & inside
-    known = (script > 0) & (script < OTHER)
-    left = np.stack([np.bincount(word[known & (script != s) & (t.looks[s][points] == 0)], minlength=n) for s in (LATIN, CYRILLIC, GREEK)])
+    at = np.flatnonzero(mixed_at & (script > 0) & (script <= len(TABLED)))
+    w, own, place = word[at], script[at], np.minimum(points[at], LOOKS - 1)
+    counts = np.stack([np.bincount(w[own == s], minlength=n) for s in range(1, len(TABLED) + 1)])
+    left = np.stack([np.bincount(w[(own != s) & (t.looks[s][place] == 0)], minlength=n) for s in range(1, len(TABLED) + 1)])
     # a script into which every letter goes comes first, then the one with most letters, then Latin
-    target = np.argmin(left * 1_000_000 - own * 8 + np.arange(3)[:, None], axis=0) + 1
-    goal = np.where(mixed_at, target[word], 0)
-    alike = t.looks[goal, points]
-    change = (goal > 0) & known & (script != goal) & (alike > 0)
-    return np.where(change, alike, points), mixed_at
+    target = np.argmin(left * 1_000_000 - counts * 8 + np.arange(len(TABLED))[:, None], axis=0) + 1
+    alike = t.looks[target[w], place]
+    change = (own != target[w]) & (alike > 0)
+    out = points.copy()
+    out[at[change]] = alike[change]
+    return out, mixed_at
 
 
 def _composed(t: Tables, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -53,3 +53,10 @@ def test_on_dataframes(spark):
 
     assert [r.p for r in rows.orderBy("rec_id").select(plain(F.col("value")).alias("p")).collect()] == [w for _, w in CASES]
     assert not_plain(rows.filter("1=0"), "value").count() == 0
+
+
+def test_any_two_scripts_in_a_word_are_a_mixture():
+    mixed = ["שלוםa", "Aλpha", "ξerox", "ընդx", "Bօb", "გoა"]
+    whole = ["Москва", "Ελλάδα", "Հայաստան", "ᏣᎳᎩ", "שלום", "საქართველო", "宇多田ヒカル", "Tシャツ", "Jポップ", "한국어B", "µs", "ªº", "Ångström", "Привет Bob"]
+    assert plain_batch(pa.array(mixed))[1].all() and not plain_batch(pa.array(whole))[1].any()
+    assert plain_batch(pa.array(whole))[0].to_pylist() == whole
