@@ -337,19 +337,29 @@ def plain(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20-\x7e]"), _plain_udf()(F.when(text.rlike(r"[^\x20-\x7e]"), text))).otherwise(text)
 
 
-def _flag(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _odd(values: pa.Array) -> pa.Array:
+    form, mixed = plain_batch(values)
+    same = pc.fill_null(pc.equal(form, values.cast(form.type)), True)
+    return pc.or_(pc.invert(same), pa.array(mixed))
+
+
+def _flag(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = batch.column(column)
-        form, mixed = plain_batch(values)
-        same = pc.fill_null(pc.equal(form, values.cast(form.type)), True)
-        yield batch.filter(pc.or_(pc.invert(same), pa.array(mixed)))
+        odd = [_odd(batch.column(c)) for c in columns]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *odd], names=[batch.schema.names[0], *columns])
 
 
-def not_plain(df: DataFrame, column: str) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is not in plain form, or mixes scripts within a word.
+def not_plain(df: DataFrame, rec_id: str, *columns: str) -> DataFrame:
+    """(rec_id, field) of every value of ``columns`` that is not in plain form, or mixes scripts within a word.
 
-    One narrow pass without a shuffle: the JVM drops printable ASCII, nulls and '' before
-    Python sees a row. Other columns go through as they are.
+    One narrow pass over ``df`` for all columns, without a shuffle: the JVM drops printable
+    ASCII, nulls and '' before Python sees a row. Only the columns named are read.
     """
-    odd = df.filter(F.col(column).rlike(r"[^\x20-\x7e]"))
-    return odd.mapInArrow(lambda batches: _flag(batches, column), odd.schema)
+    beyond = lambda c: F.col(c).rlike(r"[^\x20-\x7e]")
+    text = [F.when(beyond(c), F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(rec_id).alias("rec_id"), *text).filter(F.coalesce(*[f"c{i}" for i in range(len(columns))]).isNotNull())
+    kind = rows.schema["rec_id"].dataType.simpleString()
+    names = [f"c{i}" for i in range(len(columns))]
+    judged = rows.mapInArrow(lambda batches: _flag(batches, names), f"rec_id {kind}, " + ", ".join(f"{n} boolean" for n in names))
+    fields = F.filter(F.array(*[F.when(F.col(n), F.lit(c)) for n, c in zip(names, columns, strict=True)]), lambda x: x.isNotNull())
+    return judged.select("rec_id", F.explode(fields).alias("field"))

@@ -16,11 +16,9 @@ TEXT_FIELDS = (("playlist_tracks", "seq", "track_name"), ("playlist_tracks", "se
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for tab, rec_id, field in TEXT_FIELDS:
-        values = table(spark, sf_dir, tab).select(F.col(rec_id).alias("rec_id"), F.col(field).alias("value"))
-        parts.append(plain_text.not_plain(values, "value").select(F.lit(tab).alias("tab"), "rec_id", F.lit(field).alias("field")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tracks = plain_text.not_plain(table(spark, sf_dir, "playlist_tracks"), "seq", "track_name", "artist_names")
+    library = plain_text.not_plain(table(spark, sf_dir, "library"), "file_id", "artist")
+    return tracks.select(F.lit("playlist_tracks").alias("tab"), "rec_id", "field").unionByName(library.select(F.lit("library").alias("tab"), "rec_id", "field"))
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

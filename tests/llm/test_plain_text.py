@@ -47,12 +47,12 @@ def test_is_idempotent_on_any_text():
 
 def test_on_dataframes(spark):
     rows = spark.createDataFrame([(i, t, "ｘ") for i, (t, _) in enumerate(CASES)], "rec_id long, value string, mixed string")
-    got = {r.rec_id for r in not_plain(rows, "value").collect()}
-    assert got == {i for i, (t, want) in enumerate(CASES) if t != want}
+    got = {(r.rec_id, r.field) for r in not_plain(rows, "rec_id", "value", "mixed").collect()}
+    assert got == {(i, "value") for i, (t, want) in enumerate(CASES) if t != want} | {(i, "mixed") for i in range(len(CASES))}
     from pyspark.sql import functions as F
 
     assert [r.p for r in rows.orderBy("rec_id").select(plain(F.col("value")).alias("p")).collect()] == [w for _, w in CASES]
-    assert not_plain(rows.filter("1=0"), "value").count() == 0
+    assert not_plain(rows.filter("1=0"), "rec_id", "value").count() == 0
 
 
 def test_any_two_scripts_in_a_word_are_a_mixture():
