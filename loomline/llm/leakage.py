@@ -6,7 +6,8 @@ sets of an item window and of a document window are equal in size, so full conta
 Jaccard 1 and one min-hash finds it surely. Neighbouring windows mostly share their min-hash,
 so a document of n words keeps about 2n / (min_words - shingle + 2) of them. A Bloom filter
 of the items' min-hashes (of bounded size) drops nearly all of these before any shuffle; the
-rest are joined, and every candidate is verified by exact containment of word shingles.
+rest are joined, and every candidate is verified by exact containment of word shingles; the
+longest run that is reported is compared word by word.
 
 Words are runs of letters and digits in lower case.
 """
@@ -127,10 +128,20 @@ def _runs(doc: pa.Array, item: pa.Array, min_words: int, shingle: int) -> tuple[
     return longest, share
 
 
+def same_words(doc: str, item: str, run: int) -> bool:
+    """Whether ``run`` consecutive words of the item stand in the document, word by word and not by hash."""
+    doc_words, item_words = ("".join(c.lower()[0] if c.isalnum() else " " for c in t).split() for t in (doc, item))
+    text = f" {' '.join(doc_words)} "
+    return any(f" {' '.join(item_words[i : i + run])} " in text for i in range(len(item_words) - run + 1))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], min_words: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in passes(batch, "text"):
             longest, share = _runs(part.column("text"), part.column("item_text"), min_words, shingle)
+            for i in np.flatnonzero(longest >= min_words).tolist():  # few rows are left: the words themselves are compared once
+                while longest[i] >= min_words and not same_words(part.column("text")[i].as_py(), part.column("item_text")[i].as_py(), int(longest[i])):
+                    longest[i] -= 1
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("item_id"), pa.array(longest), pa.array(share)], names=["doc_id", "item_id", "longest_run", "containment"]
             ).filter(pa.array(longest >= min_words))

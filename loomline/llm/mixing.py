@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,23 +34,35 @@ END_OF_TEXT = 50256
 BUCKET_DOCS = 20_000
 #: Sources whose targets and token counts the driver holds.
 MOST_SOURCES = 10_000
-#: Slots of one draw beyond which counts are split in proportion instead of drawn (numpy's limit).
+#: Slots of one draw from which numpy's exact hypergeometric draw is replaced by its limits (numpy's bound).
 MOST_DRAWN = 10**9
+#: Slots of one source up to which such a draw is binomial; beyond, it is normal.
+FEW_DRAWN = 10**6
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which executors find the vocabulary file of the driver; it is sent to each of them once."""
+    sent = spark.sparkContext.__dict__.setdefault("_loomline_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
 
 
 @functools.cache
-def _encoder(path: str, pattern: str):
+def _encoder(name: str, pattern: str):
     import base64
 
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end: int | None) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(path, pattern)
+def _encoded(batches: Iterator[pa.RecordBatch], name: str, pattern: str, end: int | None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(name, pattern)
     tail = [] if end is None else [end]
     for batch in batches:
         for part in passes(batch, "text"):
@@ -62,7 +75,8 @@ def tokenized(docs: DataFrame, doc_id: str, source: str, text: str, path: str =
     """(source, doc, n, tokens) of every document with text and a source; ``end`` closes each document."""
     rows = docs.select(F.col(source).alias("source"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = rows.filter((F.col("text") != "") & F.col("source").isNotNull())
-    return rows.mapInArrow(lambda b: _encoded(b, path, pattern, end), "source string, doc long, n long, tokens array<int>")
+    name = shipped(docs.sparkSession, path)
+    return rows.mapInArrow(lambda b: _encoded(b, name, pattern, end), "source string, doc long, n long, tokens array<int>")
 
 
 def packed(tokens: DataFrame, block: int, n_docs: int) -> DataFrame:
@@ -135,18 +149,38 @@ def _node(p: Plan, low: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (left, starts) if low == parent else (counts - left, starts + left)
 
 
+def drawn(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` slots, drawn without replacement from ``counts`` slots of each source, each source gets.
+
+    A chain of hypergeometric draws. Of MOST_DRAWN slots and more a link of the chain is drawn
+    from the limit of that distribution, with its mean and its variance: binomial for a small
+    source, whose slots hardly compete, else normal, rounded and kept within what is possible.
+    """
+    out = np.zeros(len(counts), np.int64)
+    total, left = int(counts.sum()), int(take)
+    for i, own in enumerate(counts.tolist()):
+        rest = total - own
+        if total < MOST_DRAWN:
+            x = int(rng.hypergeometric(own, rest, left)) if own and left else 0
+        else:
+            few, part = min(own, rest), left / total
+            if few <= FEW_DRAWN:
+                x = int(rng.binomial(few, part))
+            else:
+                x = round(few * part + rng.standard_normal() * math.sqrt(few * part * (1 - part) * (1 - few / total) * total / (total - 1)))
+            x = x if own == few else left - x
+            x = min(max(x, left - rest, 0), own, left)
+        out[i] = x
+        total, left = rest, left - x
+    return out
+
+
 @functools.lru_cache(maxsize=4096)
 def _left(p: Plan, low: int, size: int) -> np.ndarray:
     """How many slots of each source fall into the left half, of ``size`` shards, of a node: one seeded draw."""
     counts, _ = _node(p, low, 2 * size)
-    total = int(counts.sum())
-    take = min(size * p.shard_slots, total)
-    if total < MOST_DRAWN:
-        return np.random.default_rng([p.seed, low, size]).multivariate_hypergeometric(counts, take, method="marginals").astype(np.int64)
-    exact = counts.astype(float) * take / total
-    left = np.floor(exact).astype(np.int64)
-    left[np.argsort(left - exact, kind="stable")[: take - int(left.sum())]] += 1
-    return left
+    take = min(size * p.shard_slots, int(counts.sum()))
+    return drawn(np.random.default_rng([p.seed, low, size]), counts, take)
 
 
 def permuted(index: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
@@ -203,8 +237,9 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 256,
-        shard_slots: int = 64, seed: int = 7, total: int | None = None, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int | None = END_OF_TEXT,
+        shard_slots: int = 64, seed: int = 7, total: int | None = None, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int | None = END_OF_TEXT, counts_only: bool = False,
     ) -> None:
+        """``counts_only``: tokens are counted and not kept, for ``shares`` and ``slots``."""
         goals = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(
             F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).cast("double").alias("share"), F.coalesce("max_repeat", F.lit(0)).cast("long").alias("repeat"))).alias("g")
         )
@@ -214,7 +249,8 @@ class Mix:
         self.spark, self.block = docs.sparkSession, block
         names = [g[0] for g in self.goals]
         used = docs.filter(F.col(source).isin(names)) if names else docs.filter("1 = 0")
-        self.tokens = cut_lineage(tokenized(used, doc_id, source, text, vocabulary, pattern, end))
+        tokens = tokenized(used, doc_id, source, text, vocabulary, pattern, end)
+        self.tokens = tokens if counts_only else cut_lineage(tokens)
         self.stats = {r.source: (r.tokens, r.docs) for r in self.tokens.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).collect()}
         whole = sum(g[1] for g in self.goals) or 1.0
         available = [self.stats.get(n, (0, 0))[0] for n in names]

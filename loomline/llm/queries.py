@@ -121,7 +121,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and real share of every source in that mix."""
-    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), counts_only=True).shares()
 
 
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
@@ -147,6 +147,14 @@ def _grams(name: str, key: str, tab: str) -> str:
 
 SQL: dict[str, str] = {
     "p8_found": f"WITH {_grams('d', 'doc_id', 'documents')}, {_grams('i', 'item_id', 'eval_items')} SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON d.gram = i.gram",
+    "p8_report": f"""WITH {_grams('d', 'doc_id', 'documents')}, {_grams('i', 'item_id', 'eval_items')}, hit AS (SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON d.gram = i.gram),
+dw AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM hit))),
+iw AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM eval_items)),
+same AS (SELECT h.doc_id, h.item_id, d.k - i.k AS diagonal, i.k FROM hit h JOIN dw d ON h.doc_id = d.doc_id JOIN iw i ON h.item_id = i.item_id AND d.w[d.k] = i.w[i.k]),
+runs AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k) AS island FROM same) GROUP BY doc_id, item_id, diagonal, island),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM dw WHERE k + 4 <= len(w)), items AS (SELECT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM iw WHERE k + 4 <= len(w)),
+held AS (SELECT h.doc_id, h.item_id, CAST(count(ds.s) AS DOUBLE) / count(*) AS share FROM hit h JOIN items i ON h.item_id = i.item_id LEFT JOIN ds ON ds.doc_id = h.doc_id AND ds.s = i.s GROUP BY 1, 2)
+SELECT r.doc_id, r.item_id, max(n) AS longest_run, any_value(share) AS containment FROM runs r JOIN held USING (doc_id, item_id) GROUP BY 1, 2""",
     "p10_found": """WITH g AS (SELECT DISTINCT doc_id, substring(text, k, 240) AS span FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS k FROM documents WHERE length(text) >= 240)),
 shared AS (SELECT span FROM g GROUP BY span HAVING count(*) > 1), s AS (SELECT g.* FROM g JOIN shared ON g.span = shared.span)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.span = b.span AND a.doc_id < b.doc_id""",

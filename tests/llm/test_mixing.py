@@ -28,6 +28,28 @@ def test_draws_add_up_and_vary():
     assert (_node(large, 0, 1)[0].sum(), _node(large, large.shards - 1, 1)[0].sum()) == (1000, 1000)
 
 
+@pytest.mark.parametrize("total", [10**8, 10**11])
+def test_draws_are_alike_at_every_size(total):
+    """Means, spreads and correlations of the drawn counts are the hypergeometric ones, below numpy's bound and beyond; a rare source too."""
+    counts = np.array([total * 6 // 10, 40, total * 4 // 10 - 40 - 5000, 5000], np.int64)
+    take = int(counts.sum()) // 2
+    got = np.array([mixing.drawn(np.random.default_rng([s, 1]), counts, take) for s in range(3000)])
+    assert (got.sum(axis=1) == take).all() and (got >= 0).all() and (got <= counts).all()
+    whole = counts.sum()
+    mean = counts / whole * take
+    spread = np.sqrt(counts * 1.0 * (whole - counts) / whole / whole * take / (whole - 1.0) * (whole - take))
+    z = (got - mean) / spread
+    assert (abs(z.mean(axis=0)) < 0.08).all() and (abs(z.std(axis=0) - 1) < 0.06).all()
+    assert np.corrcoef(got[:, 0], got[:, 2])[0, 1] < -0.99 and abs(np.corrcoef(got[:, 1], got[:, 3])[0, 1]) < 0.08
+    assert len({tuple(g) for g in got.tolist()}) > 2990
+    assert (mixing.drawn(np.random.default_rng(1), counts, int(whole)) == counts).all() and mixing.drawn(np.random.default_rng(1), counts, 0).sum() == 0
+
+
+def test_large_mixes_differ_by_seed():
+    a, b = (Plan(("a", "b"), (3 * 10**9, 10**9), (10**10, 10**10), 1000, seed) for seed in (3, 4))
+    assert tuple(_node(a, 0, 2**21)[0]) != tuple(_node(b, 0, 2**21)[0])
+
+
 def test_plan_limits():
     assert plan(["a", "b"], [0.5, 0.5], [1, 3], [1000, 200], 10, 8, 1).slots == (60, 60)
     assert plan(["a", "b", "z"], [0.5, 0.3, 0.2], [1, 3, 1], [1000, 200, 0], 10, 8, 1).slots == (100, 60, 0)
@@ -61,6 +83,8 @@ def test_mix(spark, monkeypatch):
         assert shares[s].tokens_used == used and shares[s].actual_share == pytest.approx(used / total) and abs(used / total - goal) < 0.01
         assert shares[s].most_uses == max(n for (x, _), n in uses.items() if x == s)
     assert shares["none"].tokens_used == 0
+    counted = Mix(df, targets, "id", block=16, shard_slots=8, seed=11, counts_only=True)
+    assert sorted(counted.shares().collect()) == sorted(shares.values())
     assert sorted((r.shard, r.slot, r.source, r.block) for r in Mix(df.repartition(5), targets, "id", block=16, shard_slots=8, seed=11).mixed().collect()) == sorted(
         (r.shard, r.slot, r.source, r.block) for r in mixed
     )
