@@ -64,6 +64,11 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").coverage()
 
 
+def p10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its class of equal texts and how many other texts share a span with it."""
+    return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").linked()
+
+
 def p10_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the spans that an earlier document has too."""
     return SharedSpans(table(spark, sf_dir, "documents"), "doc_id").stripped()
@@ -124,7 +129,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), counts_only=True).shares()
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped, "p10_links": p10_links}
 
 #: A playlist reference as a bare id, in SQL.
 _TEXT = r"regexp_replace(coalesce(playlist_id, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -137,6 +142,9 @@ n AS (SELECT item, count(*) AS n FROM k GROUP BY item),
 t AS (SELECT count(*) AS total FROM sizes),
 ab AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM k a JOIN k b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
 p AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, total AS n_baskets FROM ab JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b CROSS JOIN t)"""
+_P10 = """WITH named AS (SELECT *, CASE WHEN length(text) >= 240 THEN min(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS class_id FROM documents),
+w AS (SELECT doc_id, class_id, k, substring(text, k, 240) AS span FROM (SELECT doc_id, class_id, text, unnest(range(1, length(text) - 238)) AS k FROM named WHERE length(text) >= 240)),
+shared AS (SELECT span, min(doc_id) AS low FROM w GROUP BY span HAVING count(DISTINCT doc_id) > 1), s AS (SELECT w.*, low FROM w JOIN shared USING (span))"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
@@ -158,6 +166,13 @@ SELECT r.doc_id, r.item_id, max(n) AS longest_run, any_value(share) AS containme
     "p10_found": """WITH g AS (SELECT DISTINCT doc_id, substring(text, k, 240) AS span FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS k FROM documents WHERE length(text) >= 240)),
 shared AS (SELECT span FROM g GROUP BY span HAVING count(*) > 1), s AS (SELECT g.* FROM g JOIN shared ON g.span = shared.span)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.span = b.span AND a.doc_id < b.doc_id""",
+    "p10_coverage": f"""{_P10}, gaps AS (SELECT doc_id, least(240, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k) - k, 240)) AS fresh FROM s), c AS (SELECT doc_id, CAST(sum(fresh) AS BIGINT) AS covered FROM gaps GROUP BY 1)
+SELECT n.doc_id, class_id, length(text) AS n_chars, coalesce(covered, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(covered, 0)::DOUBLE / length(text) ELSE 0 END AS share FROM named n LEFT JOIN c ON n.doc_id = c.doc_id""",
+    "p10_links": f"""{_P10}, l AS (SELECT DISTINCT a.class_id, b.class_id AS other FROM s a JOIN s b ON a.span = b.span AND a.class_id <> b.class_id), c AS (SELECT class_id, count(*) AS n FROM l GROUP BY 1)
+SELECT doc_id, n.class_id, coalesce(c.n, 0) AS n_links FROM named n LEFT JOIN c ON n.class_id = c.class_id""",
+    "p10_stripped": f"""{_P10}, f AS (SELECT doc_id, k FROM s WHERE low < doc_id), p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM f)),
+m AS (SELECT p.*, max(f.k) OVER (PARTITION BY p.doc_id ORDER BY p) AS last FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.p = f.k)
+SELECT doc_id, coalesce(string_agg(substring(text, p, 1), '' ORDER BY p) FILTER (WHERE last IS NULL OR p - last >= 240), '') AS kept FROM m GROUP BY doc_id""",
     "p7_found": f"{_P7} SELECT item_a AS track_a, item_b AS track_b FROM p WHERE n_ab * n_baskets >= 3 * n_a * n_b",
     "p7_pairs": f"""{_P7} SELECT *, CAST(n_ab * n_baskets AS DOUBLE) / (n_a * n_b) AS lift,
   ((n_ab + 0.5::DOUBLE) * (n_baskets - n_a - n_b + n_ab + 0.5::DOUBLE)) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)) AS odds_ratio FROM p""",

@@ -4,12 +4,13 @@
 2. Every window of ``min_chars`` characters holds an anchor: the smallest hash of its runs of
    ``min_chars // 2`` characters. Texts that share a span share an anchor. One count per
    anchor finds the few that stand in two different texts.
-3. An anchor in few texts gives its pairs. An anchor in many (a common footer too short to
-   count) is refined to the hashes of all windows around it, so only texts that share a whole
-   window are paired; nothing is capped.
+3. An anchor in few texts gives its pairs. An anchor in many (a common footer) is refined to
+   the hashes of all windows around it, so only texts that share a whole window are paired;
+   nothing is capped. Where no pairs are asked for, the counts of these windows tell what
+   stands elsewhere, and a footer in n texts costs n, not n * n.
 4. Pairs are grouped by reference text into shards. A shard builds a suffix automaton over
    the parts of the reference around its anchors and streams the partners through it for
-   matching statistics; the maximal spans are the result.
+   matching statistics; the maximal spans are the result. A long reference is cut into pieces.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.ordering import position_in_group
 from ..operators.references import might_contain
 from ..sources.tables import cut_lineage
 from .automaton import SuffixAutomaton
@@ -33,9 +35,10 @@ MIN_CHARS = 240
 FEW = 48
 #: Partners that one automaton serves before the shard is split.
 SHARD = 64
-#: Copies of one text up to which each stands for itself in pairs; beyond, its first copy
-#: stands for all, and every copy is paired with that first one.
-COPIES = 64
+#: Characters of a reference whose anchors one automaton holds (about 0.4 kB for each).
+PIECE = 250_000
+#: Copies of one text that one task links to the texts of others.
+COPIES = 10_000
 
 
 def _anchors_of(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +68,9 @@ def _with_anchors(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator
 
 
 def _windows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    """The hashes of all windows of ``min_chars`` characters that hold one of the given starts."""
+    """All windows (hash, start) of ``min_chars`` characters that hold one of the given starts."""
     k = min_chars // 2
+    kind = pa.struct([("gram", pa.int64()), ("at", pa.int32())])
     for batch in batches:
         for part in passes(batch, "text"):
             points, borders = to_code_points(part.column("text"))
@@ -81,7 +85,8 @@ def _windows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
             at, once = np.unique(at, return_index=True)
             row = np.repeat(row, count)[once]
             offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(offsets, pa.array(grams[at].view(np.int64)))], names=["cls", "grams"])
+            items = pa.StructArray.from_arrays([pa.array(grams[at].view(np.int64)), pa.array((at - borders[row]).astype(np.int32))], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("first"), pa.ListArray.from_arrays(offsets, items)], names=["cls", "first", "windows"])
 
 
 def _parts(starts: np.ndarray, size: int, min_chars: int) -> list[tuple[int, int]]:
@@ -165,7 +170,8 @@ class SharedSpans:
         return lists.select("cls", F.explode("found").alias("f")).select("cls", "f.anchor", "f.start")
 
     def _candidates(self) -> None:
-        """starts: (cls, starts) around which text is looked at; pairs: (a, b) of classes, a < b."""
+        """starts: (cls, starts) around which text is looked at; pairs: (a, b) of classes, a < b,
+        with an anchor that few texts have; many: (cls, starts) of the other anchors."""
         text_of = F.xxhash64("cls")
         shared = cut_lineage(
             self._anchored()
@@ -179,11 +185,8 @@ class SharedSpans:
         places = cut_lineage(near.join(shared, "anchor"))
         self.starts = places.groupBy("cls").agg(F.collect_set("start").alias("starts"))
         few = places.filter(F.col("n") <= FEW).groupBy("anchor").agg(F.collect_set("cls").alias("m"))
-        pairs = _members_paired(few, "m")
-        many = cut_lineage(places.filter(F.col("n") > FEW).groupBy("cls").agg(F.collect_set("start").alias("starts")))
-        if not many.isEmpty():
-            pairs = pairs.unionByName(self._refined(many))
-        self.pairs = cut_lineage(pairs.distinct())
+        self.pairs = cut_lineage(_members_paired(few, "m").distinct())
+        self.many = cut_lineage(places.filter(F.col("n") > FEW).groupBy("cls").agg(F.collect_set("start").alias("starts")))
 
     def _texts(self, classes: DataFrame) -> DataFrame:
         """(cls, first, text) with one text for each class."""
@@ -192,16 +195,20 @@ class SharedSpans:
         joined = held.join(first.withColumnRenamed("first", "doc"), ["cls", "doc"])
         return joined.groupBy("cls", "doc").agg(F.min("text").alias("text")).withColumnRenamed("doc", "first")
 
-    def _refined(self, many: DataFrame) -> DataFrame:
+    def _common_windows(self) -> DataFrame:
+        """(cls, first, gram, at) of the windows around anchors that stand in many texts."""
+        least = self.min_chars
+        rows = self.many.join(self._texts(self.many).select("cls", "first", "text"), "cls")
+        lists = rows.mapInArrow(lambda b: _windows(b, least), "cls binary, first long, windows array<struct<gram:long,at:int>>")
+        return cut_lineage(lists.select("cls", "first", F.explode("windows").alias("w")).select("cls", "first", "w.gram", "w.at"))
+
+    def _refined(self) -> DataFrame:
         """Pairs of classes that share a whole window around an anchor that stands in many texts.
 
         Groups of windows with the same texts are one group. A group's pairs are all results;
         they are made by joining blocks of members, never in one task.
         """
-        least = self.min_chars
-        rows = many.join(self._texts(many).select("cls", "text"), "cls")
-        grams = rows.mapInArrow(lambda b: _windows(b, least), "cls binary, grams array<long>")
-        places = cut_lineage(grams.select("cls", F.explode("grams").alias("gram")).distinct())
+        places = self._common_windows().select("cls", "gram").distinct()
         mark = F.xxhash64("cls").cast("decimal(38,0)")
         mark2 = F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")
         groups = places.groupBy("gram").agg(F.count("*").alias("n"), F.sum(mark).alias("s1"), F.sum(mark2).alias("s2")).filter(F.col("n") > 1)
@@ -214,17 +221,21 @@ class SharedSpans:
             F.col("cls").alias("a"), F.col("other").alias("b")
         )
 
-    def spans(self, both: bool = False) -> DataFrame:
-        """(ref, doc, start, size, ref_start): maximal spans of ``doc`` that stand in ``ref``.
+    def _every_pair(self) -> DataFrame:
+        return self.pairs if self.many.isEmpty() else cut_lineage(self.pairs.unionByName(self._refined()).distinct())
+
+    def spans(self, candidates: DataFrame, both: bool = False) -> DataFrame:
+        """(ref, doc, start, size, ref_start): maximal spans of ``doc`` that stand in ``ref``, of the ``candidates`` (a, b).
 
         ``ref`` and ``doc`` are the first ids of their classes, ref < doc; with ``both`` each
-        pair comes in both directions.
+        pair comes in both directions. In a reference of more than PIECE characters a span is
+        maximal within a piece: pieces overlap, so no window of a span is missed.
         """
         least = self.min_chars
-        either = self.pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        either = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         texts = cut_lineage(self._texts(either).join(self.starts, "cls"))
         name = texts.select("cls", "first")
-        pairs = self.pairs.join(name.select(F.col("cls").alias("a"), F.col("first").alias("x")), "a").join(
+        pairs = candidates.join(name.select(F.col("cls").alias("a"), F.col("first").alias("x")), "a").join(
             name.select(F.col("cls").alias("b"), F.col("first").alias("y")), "b"
         )
         if both:
@@ -233,51 +244,93 @@ class SharedSpans:
         else:
             ends = pairs.select(F.least("x", "y").alias("ref"), F.greatest("x", "y").alias("doc"))
         shards = ends.groupBy("ref").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-        ends = ends.join(shards, "ref").withColumn("shard", F.pmod(F.xxhash64("doc"), F.col("shards")).cast("int"))
         content = texts.select(F.col("first").alias("doc"), "text", "starts")
-        partners = ends.select("ref", "shard", F.lit(1).alias("kind"), "doc").join(content, "doc")
-        heads = ends.select("ref", "shard").distinct().join(content.withColumnRenamed("doc", "ref"), "ref")
-        rows = partners.unionByName(heads.select("ref", "shard", F.lit(0).alias("kind"), F.col("ref").alias("doc"), "text", "starts"))
-        sorted_rows = rows.repartition("ref", "shard").sortWithinPartitions("ref", "shard", "kind")
+        piece_of = lambda x: F.floor(x / PIECE).cast("int")
+        pieces = shards.join(texts.select(F.col("first").alias("ref"), F.array_distinct(F.transform("starts", piece_of)).alias("pieces")), "ref").select("ref", "shards", F.explode("pieces").alias("piece"))
+        ends = ends.join(pieces, "ref").withColumn("shard", F.pmod(F.xxhash64("doc"), F.col("shards")).cast("int"))
+        partners = ends.select("ref", "shard", "piece", F.lit(1).alias("kind"), "doc").join(content, "doc")
+        heads = ends.select("ref", "shard", "piece").distinct().join(content.withColumnRenamed("doc", "ref"), "ref")
+        heads = heads.withColumn("starts", F.filter("starts", lambda x: piece_of(x) == F.col("piece")))
+        rows = partners.unionByName(heads.select("ref", "shard", "piece", F.lit(0).alias("kind"), F.col("ref").alias("doc"), "text", "starts"))
+        sorted_rows = rows.repartition("ref", "shard", "piece").sortWithinPartitions("ref", "shard", "piece", "kind")
         return sorted_rows.mapInArrow(lambda b: _streamed(b, least), "ref long, doc long, start long, size long, ref_start long")
 
+    def _links(self) -> DataFrame:
+        """(ref, doc), ref < doc, of the first ids of two classes that share a span."""
+        return self.spans(self._every_pair()).select("ref", "doc").distinct()
+
+    def _with_copies(self, links: DataFrame, end: str, copies: DataFrame) -> DataFrame:
+        """``links`` with each copy of the text at ``end`` in its place, and ``place``, which is 1 for the first; spread over parts of COPIES."""
+        named = copies.select(F.col("first").alias(end), F.col("doc").alias("copy"), "place", F.floor((F.col("place") - 1) / COPIES).cast("int").alias("part"))
+        parts = named.groupBy(end).agg((F.max("part") + 1).alias("parts"))
+        spread = links.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        joined = spread.join(named, [end, "part"], "left").drop("part", "parts")
+        return joined.withColumns({end: F.coalesce("copy", end), "place": F.coalesce("place", F.lit(1))}).drop("copy")
+
     def found_pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b, of ids whose texts share a span.
 
-        Copies up to COPIES stand for themselves; of a larger class the first id stands for
-        all, and each copy is paired with it, so no link between different texts is lost.
+        Copies are not expanded into all pairs, whatever their number: each is paired with
+        its text's first copy and with the next one by id. With every other text that shares
+        a span each copy is paired: with that text's first copy, and with its copy of the
+        same place; so every copy keeps its link to every different text.
         """
-        links = self.spans().select("ref", "doc").distinct()
-        copies = self.copies.filter(F.col("n_copies") <= COPIES)
-        for end in ("ref", "doc"):
-            names = copies.select(F.col("first").alias(end), F.col("doc").alias("copy"))
-            links = links.join(names, end, "left").withColumn(end, F.coalesce("copy", end)).drop("copy")
-        across = links.select(F.least("ref", "doc").alias("doc_a"), F.greatest("ref", "doc").alias("doc_b"))
-        small = _members_paired(copies.groupBy("cls").agg(F.collect_set("doc").alias("m")), "m").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
-        large = self.copies.filter((F.col("n_copies") > COPIES) & (F.col("first") != F.col("doc"))).select(F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"))
-        return across.unionByName(small).unionByName(large).distinct().filter(F.col("doc_a") < F.col("doc_b"))
+        copies = cut_lineage(position_in_group(self.copies, ["cls"], "doc"))
+        links = cut_lineage(self._links())
+        pair = lambda a, b: (F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b"))
+        left, right = self._with_copies(links, "ref", copies), self._with_copies(links, "doc", copies)
+        alike = self._with_copies(left.filter("place > 1").withColumnRenamed("place", "own"), "doc", copies).filter("place = own")
+        across = [df.select(*pair("ref", "doc")) for df in (left, right, alike)]
+        later = copies.filter("place > 1").select("cls", "doc", (F.col("place") - 1).alias("place"))
+        neighbours = later.join(copies.select("cls", F.col("doc").alias("ahead"), "place"), ["cls", "place"]).select(*pair("ahead", "doc"))
+        first = copies.filter("place > 1").select(*pair("first", "doc"))
+        return across[0].unionByName(across[1]).unionByName(across[2]).unionByName(first).unionByName(neighbours).distinct()
+
+    def _named(self) -> DataFrame:
+        """(doc, n_chars, class_id, copied) of every id; ``class_id`` is the first id with the same text."""
+        named = self.ids.distinct().join(self.copies.select("doc", "first"), "doc", "left")
+        return named.select("doc", "n_chars", F.coalesce("first", "doc").alias("class_id"), F.col("first").isNotNull().alias("copied"))
+
+    def linked(self) -> DataFrame:
+        """One row per id: (doc_id, class_id, n_links), the number of other texts that share a span with its text."""
+        links = self._links()
+        ends = links.select(F.explode(F.array("ref", "doc")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        return self._named().join(ends, "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+    def elsewhere(self, earlier: bool = False) -> DataFrame:
+        """(doc, start, stop): the parts of every class's text that lie in a span of another class's
+        text, or with ``earlier`` of one with a smaller first id; parts do not touch.
+
+        Spans around rare anchors come from the automata, those around common ones from the
+        counts of their windows.
+        """
+        least = self.min_chars
+        found = self.spans(self.pairs, both=not earlier).select("doc", "start", (F.col("start") + F.col("size")).alias("stop"))
+        if not self.many.isEmpty():
+            windows = self._common_windows()
+            shared = cut_lineage(windows.groupBy("gram").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("gram", "low"))
+            common = self._within(windows, shared, "gram").filter(F.col("first") > F.col("low") if earlier else F.lit(True))
+            at = F.col("at").cast("long")
+            found = found.unionByName(common.select(F.col("first").alias("doc"), at.alias("start"), (at + least).alias("stop")))
+        ends = found.groupBy("doc", "start").agg(F.max("stop").alias("stop"))
+        order = W.partitionBy("doc").orderBy("start")
+        before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+        fresh = ends.withColumn("fresh", (before.isNull() | (F.col("start") > before)).cast("int"))
+        numbered = fresh.withColumn("part", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        return numbered.groupBy("doc", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
 
     def coverage(self) -> DataFrame:
-        """One row per id: (doc_id, class_id, n_chars, shared_chars, share, n_links).
+        """One row per id: (doc_id, class_id, n_chars, shared_chars, share).
 
-        ``class_id`` is the first id with the same text; ``shared_chars`` counts characters
-        that lie in a span that stands in another id's text; ``n_links`` counts other classes
-        that share a span with the text. A copied text is shared wholly.
+        ``shared_chars`` counts characters that lie in a span that stands in another id's
+        text. A copied text is shared wholly.
         """
-        spans = cut_lineage(self.spans(both=True))
-        n_links = spans.groupBy("doc").agg(F.count_distinct("ref").alias("n_links"))
-        ends = spans.groupBy("doc", "start").agg(F.max(F.col("start") + F.col("size")).alias("stop"))
-        before = F.max("stop").over(W.partitionBy("doc").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-        fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-        covered = ends.withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("covered")).join(n_links, "doc")
-        named = self.copies.select("doc", "first")
-        rows = self.ids.distinct().join(named, "doc", "left").withColumn("class_id", F.coalesce("first", "doc"))
-        rows = rows.join(covered.withColumnRenamed("doc", "class_id"), "class_id", "left")
-        shared = F.when(F.col("first").isNotNull(), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
+        covered = self.elsewhere().groupBy(F.col("doc").alias("class_id")).agg(F.sum(F.col("stop") - F.col("start")).alias("covered"))
+        rows = self._named().join(covered, "class_id", "left")
+        shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
         return rows.select(
             F.col("doc").alias("doc_id"), "class_id", "n_chars", shared.cast("long").alias("shared_chars"),
             F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
 
     def stripped(self) -> DataFrame:
@@ -286,8 +339,7 @@ class SharedSpans:
         A text that is a copy of an earlier id's text is left with ''; texts with nothing
         shared are not listed.
         """
-        ends = F.struct("start", (F.col("start") + F.col("size")).alias("stop"))
-        cuts = cut_lineage(self.spans().groupBy("doc").agg(F.array_sort(F.collect_set(ends)).alias("cuts")))
+        cuts = cut_lineage(self.elsewhere(earlier=True).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
         texts = self._within(self.docs.select("doc", "text"), cuts.select("doc"), "doc").join(cuts, "doc")
         start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept"))
         merged = F.aggregate(

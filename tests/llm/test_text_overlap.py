@@ -139,10 +139,41 @@ def test_shared_spans_like_brute_force(spark, monkeypatch, few):
     assert not any(len(g) > 1 for g in left.values()) and kept[50] == kept[51] == "" and 0 not in kept
 
 
-def test_many_copies_are_paired_with_the_first(spark, monkeypatch):
-    monkeypatch.setattr(shared_spans, "COPIES", 3)
-    text = "the same long text again and again " * 2
-    df = spark.createDataFrame([(d, text) for d in range(6)] + [(9, "x" + text)], "id long, text string")
-    got = {(r.doc_a, r.doc_b) for r in shared_spans.SharedSpans(df, "id", "text", 24).found_pairs().collect()}
-    assert got == {(0, d) for d in range(1, 6)} | {(0, 9)}
+def test_copies_keep_their_links(spark, monkeypatch):
+    """However many copies there are, each is paired with the first, the next, and with every different text."""
+    monkeypatch.setattr(shared_spans, "COPIES", 2)
+    text, other = "the same long text again and again " * 2, "another text that ends with: " + "the same long text again and again "
+    df = spark.createDataFrame([(d, text) for d in range(6)] + [(d, other) for d in (20, 21, 22)] + [(9, "x" + text)], "id long, text string")
+    run = shared_spans.SharedSpans(df, "id", "text", 24)
+    rows = run.found_pairs().collect()
+    got = {(r.doc_a, r.doc_b) for r in rows}
+    within = {(0, d) for d in range(1, 6)} | {(d, d + 1) for d in range(5)} | {(20, 21), (20, 22), (21, 22)}
+    single = {(d, 9) for d in range(6)} | {(9, d) for d in (20, 21, 22)}
+    across = {(d, 20) for d in range(6)} | {(0, d) for d in (20, 21, 22)} | {(1, 21), (2, 22)}
+    assert got == within | single | across and len(rows) == len(got)
+    assert {(r.doc_id, r.class_id, r.n_links) for r in run.linked().collect()} == {(d, 0, 2) for d in range(6)} | {(d, 20, 2) for d in (20, 21, 22)} | {(9, 9, 2)}
     assert shared_spans.SharedSpans(df.filter("1=0"), "id").found_pairs().count() == 0
+
+
+def test_a_common_footer_costs_its_texts_not_their_pairs(spark, monkeypatch):
+    """Coverage and stripping of a footer in all texts come from window counts: no pair is made."""
+    monkeypatch.setattr(shared_spans.SharedSpans, "_refined", None)
+    rng = random.Random(8)
+    footer = "".join(rng.choices("abcdefgh ", k=60))
+    docs = [(d, "".join(rng.choices("ijklmnop ", k=30)) + footer) for d in range(120)]
+    run = shared_spans.SharedSpans(spark.createDataFrame(docs, "id long, text string"), "id", "text", 24)
+    assert run.pairs.count() < 1500  # of 7140: those with equal characters before the footer too
+    assert {r.shared_chars for r in run.coverage().collect()} <= set(range(60, 64)) and run.coverage().count() == 120
+    kept = {r.doc_id: r.kept for r in run.stripped().collect()}
+    assert len(kept) == 119 and all(docs[d][1].startswith(k) and len(k) <= 30 for d, k in kept.items())
+
+
+def test_a_long_reference_is_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "PIECE", 40)
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=400))
+    docs = [(1, long), (2, "zz" + long[70:230] + "yy"), (3, long[380:] + "-" * 9 + long[:25])]
+    run = shared_spans.SharedSpans(spark.createDataFrame(docs, "id long, text string"), "id", "text", 24)
+    assert {(r.doc_a, r.doc_b) for r in run.found_pairs().collect()} == {(1, 2), (1, 3)}
+    assert {r.doc_id: r.shared_chars for r in run.coverage().collect()} == {1: 160 + 25, 2: 160, 3: 25}
+    assert {r.doc_id: r.kept for r in run.stripped().collect()} == {2: "zzyy", 3: long[380:] + "-" * 9}
