@@ -173,15 +173,15 @@ class SharedSpans:
         """starts: (cls, starts) around which text is looked at; pairs: (a, b) of classes, a < b,
         with an anchor that few texts have; many: (cls, starts) of the other anchors."""
         text_of = F.xxhash64("cls")
+        anchors = cut_lineage(self._anchored())  # about half a byte a character: less than hashing all texts again
         shared = cut_lineage(
-            self._anchored()
-            .groupBy("anchor")
+            anchors.groupBy("anchor")
             .agg(F.min(text_of).alias("low"), F.max(text_of).alias("high"), F.count("*").alias("n"))
             .filter(F.col("low") != F.col("high"))
             .select("anchor", "n")
         )
         # copies of a text have equal rows here: they become one before the shuffle
-        near = self._anchored().filter(might_contain(shared, "anchor", F.col("anchor"), shared.count())).distinct()
+        near = anchors.filter(might_contain(shared, "anchor", F.col("anchor"), shared.count())).distinct()
         places = cut_lineage(near.join(shared, "anchor"))
         self.starts = places.groupBy("cls").agg(F.collect_set("start").alias("starts"))
         few = places.filter(F.col("n") <= FEW).groupBy("anchor").agg(F.collect_set("cls").alias("m"))
