@@ -23,8 +23,6 @@ from ..sources.tables import cut_lineage
 RUN_CODES = 2_000_000
 #: Over how many keys the rows of one oversized basket are spread while it is taken out.
 SALTS = 64
-#: Baskets taken out for their size for which the filter is built; more only mean more rows to check.
-EXPECTED_OUT = 100_000
 
 
 def bounded_baskets(rows: DataFrame, basket: str, item: str, min_size: int, max_size: int) -> DataFrame:
@@ -33,14 +31,14 @@ def bounded_baskets(rows: DataFrame, basket: str, item: str, min_size: int, max_
     A basket beyond max_size, however large, is never gathered: it is recognised by its count,
     and only rows that a Bloom filter of such baskets lets through are joined, spread by a salt.
     """
-    distinct = (
+    distinct = cut_lineage(
         rows.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item"))
         .filter((F.coalesce("basket", F.lit("")) != "") & (F.coalesce("item", F.lit("")) != ""))
         .distinct()
     )
     sizes = distinct.groupBy("basket").agg(F.count("*").alias("size"))
-    out = sizes.filter((F.col("size") < min_size) | (F.col("size") > max_size)).select("basket")
-    doubted = might_contain(out, "basket", F.col("basket"), EXPECTED_OUT)
+    out = cut_lineage(sizes.filter((F.col("size") < min_size) | (F.col("size") > max_size)).select("basket"))
+    doubted = might_contain(out, "basket", F.col("basket"), out.count())
     # the filter already leaves next to nothing to check, so this join is cheap without a broadcast too
     salted = out.select("basket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     checked = (
@@ -120,7 +118,7 @@ def together(rows: DataFrame, basket: str, item: str, min_size: int = 2, max_siz
     with fewer than ``min_size`` or more than ``max_size`` items do not count at all, also not
     in n_a, n_b and n_baskets. An empty table gives an empty result.
     """
-    inside = cut_lineage(bounded_baskets(rows, basket, item, min_size, max_size))
+    inside = bounded_baskets(rows, basket, item, min_size, max_size)  # cheap to read again: distinct rows are written once
     # an item in fewer baskets than min_count is in no counted pair: leaving it out is exact
     frequent = numbered(inside.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count), most=1 << 31)
     n_baskets = inside.agg(F.count_distinct("basket").alias("n_baskets"))
