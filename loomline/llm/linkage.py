@@ -4,7 +4,7 @@
    readings of its act and title, from its tags and its path; files with equal readings and
    length are one node.
 2. Nodes are joined by rare shared attributes: the phonetic code of a word of the act beside
-   those of two of the rarest words of the title. An edge weighs as much as its attributes are rare.
+   those of two words of the title. An edge weighs as much as its attributes are rare.
 3. Meta-blocking drops edges that are weak against the best edges of both their nodes.
 4. Edges are compared: title words, version, names of acts, length. Then confidence spreads:
    an edge gains where other titles of the same two acts match too, until no confidence grows.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
 from .names import COMMON_WORDS, COMPILATION, acts, full_forms, phonetic, same_act, shortened, tokens
+from .name_variants import common_words
 from .plain_text import plain_batch
 from .titles import parse_title, same_title
 
@@ -37,6 +38,9 @@ SECONDS = 4.0
 CONTEXT = 0.8
 #: Gain of two acts in a round, over all their titles, below which their confidences are stable.
 STABLE = 1e-6
+#: Words of a title up to which each two are an attribute. Of more words neighbours are: titles
+#: with two slips at most, and others are not taken for one, still share a pair of them.
+EACH_TWO = 16
 #: Rows of one side of an attribute that meet the other side in one task.
 BLOCK = 2000
 
@@ -103,46 +107,45 @@ def _files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["file_id", "length", "acts", "titles"])
 
 
-def attribute_keys(act: list[str], rarest: list[str]) -> set[str]:
-    """The attributes of one act and the (at most three) rarest words of one title.
+def attribute_keys(act: list[str], title: list[str], common: frozenset[str] = COMMON_WORDS) -> set[str]:
+    """The attributes of one act and one title.
 
     An attribute is the sound of a word of the act beside the sounds of two title words. Of
-    three title words each two are an attribute, and of one or two also every sound that lacks
-    a character: a title with one word mistyped still shares an attribute with the right one.
+    more than two title words each two are an attribute, and of one or two also every sound
+    that lacks a character: a title with one word mistyped still shares an attribute with the
+    right one. If only one word of an act is not a ``common`` one, that word may hold a slip.
     """
     main = [w for w in act if w not in COMMON_WORDS and len(w) > 1] or list(act)
-    main = sorted(main, key=lambda w: (-len(w), w))[:3]
     sounds = {w: {phonetic(f) for f in full_forms(w)} for w in main}
-    code = [phonetic(w) for w in rarest]
-    if len(main) == 1:  # nothing else tells this act: its one word may hold a slip
-        sounds[main[0]] |= shortened(phonetic(main[0]))
+    telling = [w for w in main if w not in common] or main
+    if len(telling) == 1:
+        sounds[telling[0]] |= shortened(phonetic(telling[0]))
+    code = [phonetic(w) for w in title]
     pair = lambda a, b: "&".join(sorted((a, b)))
-    exact = pair(*code[:2]) if len(code) > 1 else code[0]
     lacking = lambda c: shortened(c) | ({*c, ""} if len(c) < 3 else set())  # noqa: E731 - also of a short sound
     if len(code) == 1:
-        near = shortened(code[0])
+        whole, near = {code[0]}, shortened(code[0])
     elif len(code) == 2:
-        near = {pair(v, code[1]) for v in lacking(code[0])} | {pair(code[0], v) for v in lacking(code[1])}
+        whole, near = {pair(*code)}, {pair(v, code[1]) for v in lacking(code[0])} | {pair(code[0], v) for v in lacking(code[1])}
     else:
-        near = {pair(x, y) for i, x in enumerate(code) for y in code[i + 1 :]}
-    return {f"{s}|{exact}" for w in main for s in sounds[w]} | {f"{phonetic(w)}|{c}" for w in main if w == main[0] or len(w) > 7 for c in near}
+        each = ((x, y) for i, x in enumerate(code) for y in code[i + 1 :]) if len(code) <= EACH_TWO else zip(code, code[1:], strict=False)
+        whole = near = {pair(x, y) for x, y in each}
+    return {f"{s}|{c}" for w in main for s in sounds[w] for c in whole} | {f"{phonetic(w)}|{c}" for w in main for c in near}
 
 
-def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keyed(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[pd.DataFrame]:
     for f in frames:
         keys = []
         for who, readings in zip(f["acts"], f["titles"], strict=True):
             found: set[str] = set()
             for title in readings:
-                order = sorted(zip(title["df"], title["words"], strict=True))
-                rarest = [w for _, w in dict.fromkeys(order)][:3]
                 for act in who:
-                    found |= attribute_keys(list(act), rarest)
+                    found |= attribute_keys(list(act), list(title["words"]), common)
             keys.append(sorted(found))
         yield pd.DataFrame({"node": f["node"], "keys": keys})
 
 
-def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _score(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[pd.DataFrame]:
     """Per edge the likeness of titles (with versions and lengths) and of names."""
     for f in frames:
         title, name, who = np.zeros(len(f)), np.zeros(len(f)), [""] * len(f)
@@ -160,7 +163,7 @@ def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             title[i] = best * (1.0 if known else 0.92)
             own = tuple(t_act[0])
-            scores = [(same_act(own, tuple(a)), -k) for k, a in enumerate(f_acts)]
+            scores = [(same_act(own, tuple(a), common=common), -k) for k, a in enumerate(f_acts)]
             name[i] = max(scores)[0]
             who[i] = " ".join(f_acts[0])
         out = f[["track_node", "file_node", "t_name"]].assign(f_name=who, title=title, name=name)
@@ -259,14 +262,15 @@ def recordings(
         f_nodes.select(F.lit("f").alias("side"), "node", "acts", "titles")
     )
     full = cut_lineage(_with_frequencies(both))
-    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(_keyed, "node string, keys array<string>")
+    common = common_words(t_nodes.select(F.col("act").alias("words")).distinct())
+    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(lambda f: _keyed(f, common), "node string, keys array<string>")
     edges = _candidates(cut_lineage(tagged("t")), cut_lineage(tagged("f")))
     left = full.filter("side = 't'").select(F.col("node").alias("track_node"), F.col("acts").alias("t_act"), F.col("titles").alias("t_titles"))
     left = left.join(t_nodes.select(F.col("node").alias("track_node"), "low", "high", F.array_join("act", " ").alias("t_name")), "track_node")
     right = full.filter("side = 'f'").select(F.col("node").alias("file_node"), F.col("acts").alias("f_acts"), F.col("titles").alias("f_titles"))
     right = right.join(f_nodes.select(F.col("node").alias("file_node"), "length"), "file_node")
     scored = edges.join(left, "track_node").join(right, "file_node").mapInPandas(
-        _score, "track_node string, file_node string, t_name string, f_name string, title double, name double"
+        lambda f: _score(f, common), "track_node string, file_node string, t_name string, f_name string, title double, name double"
     )
     scored = scored.withColumn("t_title", F.split_part("track_node", F.lit("|"), F.lit(2)))
     found = spread(scored).filter(F.col("confidence") >= ACCEPT).select("track_node", "file_node", "confidence")

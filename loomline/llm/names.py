@@ -29,8 +29,9 @@ SHORT_WORDS = """
 bros:brothers bro:brothers orch:orchestra ens:ensemble ensem:ensemble coll:collective collect:collective 4tet:quartet qt:quartet qrt:quartet qtet:quartet quart:quartet 5tet:quintet ss:sound+system
 doctor:dr deejay:dj mister:mr missus:mrs saint:st sys:system snd:sound emcee:mc
 """
-#: Words that do not tell acts apart by themselves.
-COMMON_WORDS = frozenset("brothers orchestra ensemble collective quartet quintet trio band sound system mc dj lady dr mr mrs st lord king queen son of nobody younger third baker elder".split())
+#: Words of any list of acts that do not tell acts apart by themselves. Words that
+#: stand beside many others in the names at hand come to them, see ``companions``.
+COMMON_WORDS = frozenset("brothers orchestra ensemble collective quartet quintet trio band sound system mc dj lady dr mr mrs st lord king queen son daughter of".split())
 DROPPED = frozenset(("the", "and"))
 #: How the credit for compilations is written, folded and without blanks.
 COMPILATIONS = frozenset("va various variousartists variousartist variousperformers varios variosartistas diverse diverseinterpreten verschiedene verschiedeneinterpreten artistesdivers compilation compilations sampler vvaa aavv".split())
@@ -148,7 +149,13 @@ def full_forms(word: str) -> frozenset[str]:
     return nicknames().get(word) or frozenset((word,))
 
 
-def block_keys(words: tuple[str, ...]) -> set[str]:
+def companions(words: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Each word of a name beside the sound of the longest other word: what tells how many names a word is part of."""
+    by_size = sorted(range(len(words)), key=lambda i: (-len(words[i]), words[i]))
+    return [(w, phonetic(words[by_size[1] if i == by_size[0] else by_size[0]])) for i, w in enumerate(words)] if len(words) > 1 else []
+
+
+def block_keys(words: tuple[str, ...], common: frozenset[str] = COMMON_WORDS) -> set[str]:
     """Keys under which a name meets its variants: a main word by its phonetic code, also
     shortened by one character, beside the initial of another word; or the codes of both."""
     if words == (COMPILATION,):
@@ -157,7 +164,7 @@ def block_keys(words: tuple[str, ...]) -> set[str]:
     if len(words) == 1:
         return {f"{c}|" for c in shortened(phonetic(words[0]))}
     for i, main in enumerate(words):
-        if len(main) < 3 or main in COMMON_WORDS:
+        if len(main) < 3 or main in common:
             continue
         code = phonetic(main)
         forms = shortened(code)
@@ -236,10 +243,11 @@ def word_match(a: str, b: str) -> tuple[float, int]:
     return 0.0, 0
 
 
-def same_act(a: tuple[str, ...], b: tuple[str, ...], most_edits: int = 3) -> float:
+def same_act(a: tuple[str, ...], b: tuple[str, ...], most_edits: int = 3, common: frozenset[str] = COMMON_WORDS) -> float:
     """The likeness of two names, 0 if they are not taken for one act.
 
-    Every word must find its partner; initials only count beside a word of four letters.
+    Every word must find its partner; initials only count beside a word of four letters that is
+    not one of the ``common`` ones.
     """
     if a == b:
         return 1.0
@@ -252,7 +260,7 @@ def same_act(a: tuple[str, ...], b: tuple[str, ...], most_edits: int = 3) -> flo
     for word in a:
         if word in left:
             left.remove(word)
-            long |= len(word) > 3 and word not in COMMON_WORDS
+            long |= len(word) > 3 and word not in common
         else:
             rest.append(word)
     for word in sorted(rest, key=lambda w: (-len(w), w)):  # an initial takes what longer words leave

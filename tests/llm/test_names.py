@@ -6,7 +6,7 @@ import pytest
 
 from loomline.llm.components import connected_components
 from loomline.llm.name_variants import act_clusters, variant_pairs
-from loomline.llm.names import acts, edits, jaro_winkler, same_act, tokens
+from loomline.llm.names import COMMON_WORDS, acts, edits, jaro_winkler, same_act, tokens
 
 
 @pytest.mark.parametrize(
@@ -70,3 +70,25 @@ def test_variant_pairs(spark):
     assert got == want | {("Victoria Kirodevski", "Victoria Kirodevsky"), ("V.A.", "Various")}
     assert {r.name for r in act_clusters(df, "name").collect()} == set(names) - {"Ann Lee, Bob Ray", None, "", "  ", "!!"}
     assert variant_pairs(df.filter("1=0"), "name").count() == 0
+
+
+def test_words_beside_many_others_are_common(spark):
+    """A word of many names tells none of them apart; a name's own word stays telling, however many slips it has."""
+    from loomline.llm import name_variants
+
+    firsts = "ann bea cid dot eve fay gus hal ida jon kit lou".split()
+    names = [("Wanderer", f) for f in firsts] + [("Zolotar", f) for f in ("Mia", "Mai", "Mja", "M")] + [(f"Quill{n}rab", "Solo") for n in ("ba", "to")]
+    rows = spark.createDataFrame([(sorted(w.lower() for w in n),) for n in names], "words array<string>")
+    common = name_variants.common_words(rows)
+    assert "wanderer" in common and "zolotar" not in common and "solo" not in common and COMMON_WORDS <= common
+    assert name_variants.common_words(rows.filter("1=0")) == COMMON_WORDS
+    assert not same_act(("a", "wanderer"), ("ann", "wanderer"), common=common) and same_act(("m", "zolotar"), ("mia", "zolotar"), common=common)
+
+
+def test_attributes_of_long_titles_survive_two_slips():
+    from loomline.llm.linkage import attribute_keys
+
+    title = [f"word{chr(97 + i)}{chr(98 + i)}x" for i in range(18)]
+    slips = [*title[:4], "wxxxxx", *title[5:11], "wyyyyy", *title[12:]]
+    assert attribute_keys(["someone"], title) & attribute_keys(["someone"], slips) and len(attribute_keys(["someone"], title * 500)) < 200
+    assert attribute_keys(["ann", "quill"], ["amber", "ember"]) & attribute_keys(["ann", "quill"], ["amer", "ember"])
