@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from ..sources.tables import cut_lineage
 from .names import COMMON_WORDS, COMPILATION, acts, full_forms, phonetic, same_act, shortened, tokens
 from .name_variants import common_words
@@ -166,20 +167,19 @@ def _score(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[p
             scores = [(same_act(own, tuple(a), common=common), -k) for k, a in enumerate(f_acts)]
             name[i] = max(scores)[0]
             who[i] = " ".join(f_acts[0])
-        out = f[["track_node", "file_node", "t_name"]].assign(f_name=who, title=title, name=name)
+        words = [" ".join(t[0]["words"]) for t in f["t_titles"]]
+        out = f[["track_node", "file_node", "t_name"]].assign(f_name=who, t_title=words, title=title, name=name)
         yield out[out["title"] > 0]
 
 
 def _with_frequencies(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (side, node, acts, titles) with, beside each title word, in how many titles it stands."""
-    long = nodes.select("side", "node", F.posexplode("titles").alias("reading", "t")).select("side", "node", "reading", F.col("t.version").alias("version"), F.posexplode("t.words").alias("at", "word"))
-    df = long.groupBy("word").agg(F.count("*").cast("int").alias("df"))
-    back = long.join(df, "word").groupBy("side", "node", "reading").agg(F.first("version").alias("version"), F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("w"))
-    titles = back.groupBy("side", "node").agg(
-        F.array_sort(F.collect_list(F.struct("reading", F.col("w.word").alias("words"), "version", F.col("w.df").alias("df")))).alias("t")
-    )
-    titles = titles.select("side", "node", F.transform("t", lambda x: F.struct(x["words"].alias("words"), x["version"].alias("version"), x["df"].alias("df"))).alias("titles"))
-    return nodes.drop("titles").join(titles, ["side", "node"])
+    """``nodes`` (side, node, acts, titles) with, beside the words of each title, in how many titles each stands."""
+    words = nodes.select("side", "node", F.posexplode("titles").alias("reading", "t")).select("side", "node", "reading", F.posexplode("t.words").alias("at", "word"))
+    df = words.groupBy("word").agg(F.count("*").cast("int").alias("df"))
+    back = words.join(df, "word").groupBy("side", "node").agg(F.array_sort(F.collect_list(F.struct("reading", "at", "df"))).alias("all"))
+    own = lambda i: F.transform(F.filter("all", lambda x: x["reading"] == i), lambda x: x["df"])
+    titles = F.transform("titles", lambda t, i: F.struct(t["words"].alias("words"), t["version"].alias("version"), own(i).alias("df")))
+    return nodes.join(back, ["side", "node"]).select("side", "node", "acts", titles.alias("titles"))
 
 
 def _candidates(tracks: DataFrame, files: DataFrame) -> DataFrame:
@@ -187,7 +187,9 @@ def _candidates(tracks: DataFrame, files: DataFrame) -> DataFrame:
 
     A large attribute is a grid of tasks, so none holds all of it.
     """
-    left, right = tracks.select("node", F.explode("keys").alias("key")), files.select("node", F.explode("keys").alias("key"))
+    # an attribute travels as a hash: two that share one by chance are one more candidate, which is compared as any other
+    keyed = lambda df: df.select("node", F.explode("keys").alias("k")).select("node", F.xxhash64("k").alias("key"))
+    left, right = keyed(tracks), keyed(files)
     total = F.lit(1.0) + tracks.agg(F.count("*").alias("n")).scalar() + files.agg(F.count("*").alias("n")).scalar()
     sizes = left.groupBy("key").agg(F.count("*").alias("n_left")).join(right.groupBy("key").agg(F.count("*").alias("n_right")), "key")
     weight = F.log2(total / (F.col("n_left") + F.col("n_right")) + 1)
@@ -250,30 +252,29 @@ def recordings(
     node = F.concat_ws("|", F.array_join("act", " "), F.array_join("words", " "), F.array_join("version", " "))
     parsed = cut_lineage(parsed.withColumn("node", node))
     t_nodes = parsed.groupBy("node").agg(F.first("act").alias("act"), F.first("words").alias("words"), F.first("version").alias("version"), F.min("low").alias("low"), F.max("high").alias("high"))
-    t_nodes = cut_lineage(t_nodes)
+    t_nodes = numbered(t_nodes)  # nodes travel as numbers
     f_rows = files.select(
         F.col(file_id).cast("long").alias("file_id"), F.col(artist).alias("artist"), F.col(albumartist).alias("albumartist"), F.col(title).alias("title"), F.col(path).alias("path"), F.col(length).cast("double").alias("length")
     ).distinct()
     signature = F.md5(F.to_json(F.struct("acts", "titles", "length")))
     f_parsed = cut_lineage(f_rows.repartition("file_id").mapInPandas(_files, f"file_id long, length double, {READINGS}").withColumn("node", signature))
     # files with equal readings and lengths, however many, are one node
-    f_nodes = cut_lineage(f_parsed.groupBy("node").agg(F.first("acts").alias("acts"), F.first("titles").alias("titles"), F.first("length").alias("length")))
-    both = t_nodes.select(F.lit("t").alias("side"), "node", F.array("act").alias("acts"), F.array(F.struct("words", "version")).alias("titles")).unionByName(
-        f_nodes.select(F.lit("f").alias("side"), "node", "acts", "titles")
+    f_nodes = numbered(f_parsed.groupBy("node").agg(F.first("acts").alias("acts"), F.first("titles").alias("titles"), F.first("length").alias("length")))
+    both = t_nodes.select(F.lit("t").alias("side"), F.col("code").alias("node"), F.array("act").alias("acts"), F.array(F.struct("words", "version")).alias("titles")).unionByName(
+        f_nodes.select(F.lit("f").alias("side"), F.col("code").alias("node"), "acts", "titles")
     )
     full = cut_lineage(_with_frequencies(both))
     common = common_words(t_nodes.select(F.col("act").alias("words")).distinct())
-    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(lambda f: _keyed(f, common), "node string, keys array<string>")
+    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(lambda f: _keyed(f, common), "node long, keys array<string>")
     edges = _candidates(cut_lineage(tagged("t")), cut_lineage(tagged("f")))
     left = full.filter("side = 't'").select(F.col("node").alias("track_node"), F.col("acts").alias("t_act"), F.col("titles").alias("t_titles"))
-    left = left.join(t_nodes.select(F.col("node").alias("track_node"), "low", "high", F.array_join("act", " ").alias("t_name")), "track_node")
+    left = left.join(t_nodes.select(F.col("code").alias("track_node"), "low", "high", F.array_join("act", " ").alias("t_name")), "track_node")
     right = full.filter("side = 'f'").select(F.col("node").alias("file_node"), F.col("acts").alias("f_acts"), F.col("titles").alias("f_titles"))
-    right = right.join(f_nodes.select(F.col("node").alias("file_node"), "length"), "file_node")
+    right = right.join(f_nodes.select(F.col("code").alias("file_node"), "length"), "file_node")
     scored = edges.join(left, "track_node").join(right, "file_node").mapInPandas(
-        lambda f: _score(f, common), "track_node string, file_node string, t_name string, f_name string, title double, name double"
+        lambda f: _score(f, common), "track_node long, file_node long, t_name string, f_name string, t_title string, title double, name double"
     )
-    scored = scored.withColumn("t_title", F.split_part("track_node", F.lit("|"), F.lit(2)))
     found = spread(scored).filter(F.col("confidence") >= ACCEPT).select("track_node", "file_node", "confidence")
-    ids = parsed.select("track_id", F.col("node").alias("track_node")).distinct()
-    out = found.join(ids, "track_node").join(f_parsed.select("file_id", F.col("node").alias("file_node")).distinct(), "file_node")
+    named = lambda rows, id_, nodes, end: rows.select(id_, "node").distinct().join(nodes.select("node", F.col("code").alias(end)), "node").drop("node")
+    out = found.join(named(parsed, "track_id", t_nodes, "track_node"), "track_node").join(named(f_parsed, "file_id", f_nodes, "file_node"), "file_node")
     return out.groupBy("track_id", "file_id").agg(F.max("confidence").alias("confidence"))
