@@ -39,9 +39,9 @@ SECONDS = 4.0
 CONTEXT = 0.8
 #: Gain of two acts in a round, over all their titles, below which their confidences are stable.
 STABLE = 1e-6
-#: Words of a title up to which each two are an attribute. Of more words neighbours are: titles
-#: with two slips at most, and others are not taken for one, still share a pair of them.
-EACH_TWO = 16
+#: Words of a title up to which each two are an attribute. Of more words neighbours in a ring are:
+#: two slips, and titles with more are not taken for one, touch four of these pairs at most.
+EACH_TWO = 4
 #: Rows of one side of an attribute that meet the other side in one task.
 BLOCK = 2000
 
@@ -112,7 +112,7 @@ def attribute_keys(act: list[str], title: list[str], common: frozenset[str] = CO
     """The attributes of one act and one title.
 
     An attribute is the sound of a word of the act beside the sounds of two title words. Of
-    more than two title words each two are an attribute, and of one or two also every sound
+    three or four title words each two are an attribute, of more each and the next; of one or two also every sound
     that lacks a character: a title with one word mistyped still shares an attribute with the
     right one. If only one word of an act is not a ``common`` one, that word may hold a slip.
     """
@@ -129,7 +129,7 @@ def attribute_keys(act: list[str], title: list[str], common: frozenset[str] = CO
     elif len(code) == 2:
         whole, near = {pair(*code)}, {pair(v, code[1]) for v in lacking(code[0])} | {pair(code[0], v) for v in lacking(code[1])}
     else:
-        each = ((x, y) for i, x in enumerate(code) for y in code[i + 1 :]) if len(code) <= EACH_TWO else zip(code, code[1:], strict=False)
+        each = ((x, y) for i, x in enumerate(code) for y in code[i + 1 :]) if len(code) <= EACH_TWO else zip(code, [*code[1:], code[0]], strict=True)
         whole = near = {pair(x, y) for x, y in each}
     return {f"{s}|{c}" for w in main for s in sounds[w] for c in whole} | {f"{phonetic(w)}|{c}" for w in main for c in near}
 
