@@ -105,6 +105,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_records(spark, sf_dir).filter(F.col("n_rows") > 1).select("first_id", "keeper_id", "url_id")
 
 
+def p6_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out times: how many groups whose link comes from their latest row choose the same row
+    when the times of all rows without a popularity are taken away and have to be inferred."""
+    manifest = table(spark, sf_dir, "spotify_manifest").withColumn("act", _first_credit("artist_names"))
+    hidden = manifest.withColumn("exported_at", F.when(F.col("popularity").isNotNull(), F.col("exported_at")))
+    fields = ("row_id", "track_id", "track_name", "act", "popularity", "spotify_url", "exported_at")
+    true = survivors.best_records(manifest, *fields).filter("n_rows > 1 and url_id <> keeper_id").select("first_id", "url_id")
+    inferred = survivors.best_records(hidden, *fields).select("first_id", F.col("url_id").alias("inferred"))
+    both = true.join(inferred, "first_id")
+    return both.agg(F.count("*").alias("n_groups"), F.count_if(F.col("url_id") == F.col("inferred")).alias("n_same"))
+
+
 def _act_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = table(spark, sf_dir, "library")
     return library.select(F.col("artist").alias("name")).unionByName(library.select(F.col("albumartist").alias("name")))
@@ -129,7 +141,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), counts_only=True).shares()
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped, "p10_links": p10_links}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p6_found": p6_found, "p6_records": p6_records, "p6_undated": p6_undated, "p3_found": p3_found, "p3_clusters": p3_clusters, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_stripped": p10_stripped, "p10_links": p10_links}
 
 #: A playlist reference as a bare id, in SQL.
 _TEXT = r"regexp_replace(coalesce(playlist_id, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"

@@ -5,7 +5,8 @@ field then comes from the row that deserves most trust for it. Where that is the
 rows without a timestamp are placed by currency reasoning: from groups with timestamps it is
 learned which states of a value tend to come before which, directly or through other states; a
 row without one stands after every dated row of its group whose state comes before its own,
-rows without a time stand in topological order, and the latest row wins.
+rows without a time stand in topological order, and the latest row wins. A value that stands
+in a dated row of the group too has that row's time.
 """
 
 from __future__ import annotations
@@ -79,14 +80,17 @@ def closed(learned: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
     return order
 
 
-def placed(rows: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, value: str | None = None) -> DataFrame:
     """``rows`` (component, state, at, ...) with ``currency``, by which later rows come last.
 
-    A dated row has its time. A row without stands right behind the latest dated row whose
+    A dated row has its time. A row without stands with the latest dated row of its group that
+    has the same ``value``, where that column is named, or, if it is later, right behind the latest dated row whose
     state precedes its own; before all others if there is none. Of rows without a time at one
     place, those with more states before their own, among such rows of the group, come later:
     a topological order. States without a learned order stand alike.
     """
+    if rows.filter(F.col("at").isNull()).isEmpty():  # every row has its place: there is nothing to learn
+        return rows.withColumn("currency", F.struct("at", F.lit(0).alias("behind")))
     pairs = [tuple(r) for r in precedence(rows).collect()]  # states are few
     order = rows.sparkSession.createDataFrame(sorted(closed(pairs)), "earlier string, later string")
     last = rows.filter(F.col("at").isNotNull() & F.col("state").isNotNull()).groupBy("component", "state").agg(F.max("at").alias("last"))
@@ -96,11 +100,14 @@ def placed(rows: DataFrame) -> DataFrame:
     earlier = here.groupBy("component", F.col("state").alias("earlier")).agg(F.max("last").alias("last"), F.max("undated").alias("undated"))
     behind = undated.withColumnRenamed("state", "later").join(order, "later").join(earlier, ["component", "earlier"])
     behind = behind.groupBy("component", F.col("later").alias("state")).agg(F.max("last").alias("behind"), F.sum("undated").cast("int").alias("rank"))
-    joined = rows.join(behind, ["component", "state"], "left")
+    joined = rows.join(behind, ["component", "state"], "left").withColumn("same", F.lit(None).cast(rows.schema["at"].dataType))
+    if value:
+        same = rows.filter(F.col("at").isNotNull() & F.col(value).isNotNull()).groupBy("component", value).agg(F.max("at").alias("same"))
+        joined = joined.drop("same").join(same, ["component", value], "left")
     undated_row = F.col("at").isNull()
-    when = F.when(undated_row, F.col("behind")).otherwise(F.col("at"))
+    when = F.when(undated_row, F.greatest("behind", "same")).otherwise(F.col("at"))
     place = F.when(undated_row, F.coalesce("rank", F.lit(0)) + 1).otherwise(0)
-    return joined.withColumn("currency", F.struct(when.alias("at"), place.alias("behind"))).drop("behind", "rank")
+    return joined.withColumn("currency", F.struct(when.alias("at"), place.alias("behind"))).drop("behind", "rank", "same")
 
 
 def value_state(url: Column, track: Column, score: Column) -> Column:
@@ -134,7 +141,7 @@ def best_records(
     own = (F.coalesce(F.trim("track"), F.lit("")) != "") & F.coalesce(F.col("url").contains(F.trim("track")), F.lit(False))
     score = F.when(F.col("score").between(low, high), F.col("score").cast("long"))
     full = grouped(rows).withColumns({"own": own, "valid": score, "state": value_state(F.col("url"), F.trim("track"), F.col("score"))})
-    dated = placed(cut_lineage(full))
+    dated = placed(cut_lineage(full), "url")
     record = F.struct("row", "track", "valid", "own", "url", F.nullif(F.trim("title"), F.lit("")).alias("title"), F.nullif(F.trim("act"), F.lit("")).alias("act"))
     first_of = lambda column: F.min_by(column, F.when(F.coalesce(F.trim(column), F.lit("")) != "", F.col("row")))
     picked = dated.groupBy("component").agg(

@@ -144,3 +144,12 @@ def test_best_record_of_a_group_without_time(spark):
     df = spark.createDataFrame(rows, "row_id long, track_id string, t string, a string, p int, u string, at timestamp")
     got = {r.first_id: r for r in survivors.best_records(df, "row_id", "track_id", "t", "a", "p", "u", "at").collect()}
     assert (got[10].keeper_id, got[10].url_id, got[10].spotify_url) == (12, 11, "y:u")
+
+
+def test_a_row_without_time_stands_with_its_value(spark):
+    rows = [("g", "s", day(2), "a"), ("g", "s", day(5), "b"), ("g", "s", None, "a"), ("g", "s", None, "new"), ("g", "s", None, None)]
+    df = spark.createDataFrame(rows, "component string, state string, at timestamp, url string")
+    got = {r.url: tuple(r.currency) for r in survivors.placed(df, "url").filter("at is null").collect()}
+    assert got == {"a": (day(2), 1), "new": (None, 1), None: (None, 1)}
+    dated = {r.url: tuple(r.currency) for r in survivors.placed(df.filter("at is not null"), "url").collect()}
+    assert dated == {"a": (day(2), 0), "b": (day(5), 0)}
