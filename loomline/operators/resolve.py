@@ -69,33 +69,43 @@ def resolution_warnings(specs: DataFrame, found: DataFrame) -> DataFrame:
     return specs.select("spec").distinct().join(counts, "spec", "left").select("spec", n.alias("n"), warning.alias("warning"))
 
 
-def resolve_targets(specs: DataFrame, library: DataFrame, entries: DataFrame, soundtracks: str = "soundtracks") -> tuple[DataFrame, DataFrame]:
+def resolve_targets(
+    specs: DataFrame, library: DataFrame, entries: DataFrame, soundtracks: str = "soundtracks", paths: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """What specs (seq, kind, spec) name, in buckets, and what went wrong.
 
     Kinds are album, song, soundtrack and playlist; ``entries`` is (playlist, name, path) of
-    the playlist files, ``library`` the files. First result: (bucket, target, seq) with the
-    buckets folders, files and m3u8, each target once, at its first spec. Second: (kind, spec,
-    warning) for specs without or with several targets, unknown kinds, and playlists that
+    the playlist files, ``library`` the files. With ``paths`` (item, path), entries are
+    (playlist, name, item) instead: what is listed often and has many paths is then never
+    multiplied out, a path's first spec comes from its item. First result: (bucket, target, seq)
+    with the buckets folders, files and m3u8, each target once, at its first spec. Second: (kind,
+    spec, warning) for specs without or with several targets, unknown kinds, and playlists that
     list files that are not there, which are left out.
     """
     of = lambda kind: specs.filter(F.col("kind") == kind).select("spec")
-    lists = resolve_playlists(of("playlist"), entries, library.select(T.normal_path(F.col("path")).alias("path")))
+    if paths is None:
+        entries, paths = entries.withColumnRenamed("path", "item"), entries.select(F.col("path").alias("item"), "path").distinct()
+    there = library.select(T.normal_path(F.col("path")).alias("path")).distinct().withColumn("there", F.lit(True))
+    paths = paths.join(there, "path", "left").select("item", "path", F.coalesce("there", F.lit(False)).alias("exists"))
+    asked = specs.filter("kind = 'playlist' AND spec IS NOT NULL").select("spec", "seq", T.norm_key(F.col("spec")).alias("key"))
+    listed = entries.withColumn("key", T.norm_key(F.col("name"))).join(asked.groupBy("key").agg(F.min("seq").alias("seq")), "key")
+    named = asked.select("spec", "key").distinct()
     found = {
         "album": resolve_albums(of("album"), library).select("spec", "target"),
         "song": resolve_songs(of("song"), library).select("spec", "target"),
         "soundtrack": resolve_folders(of("soundtrack"), library, soundtracks).select("spec", "target"),
-        "playlist": lists.select("spec", F.col("playlist").alias("target")).distinct(),
+        "playlist": named.join(listed.select("key", F.col("playlist").alias("target")).distinct(), "key").select("spec", "target"),
     }
     bucket = {"album": "folders", "song": "files", "soundtrack": "folders", "playlist": "m3u8"}
     tagged = [df.select(F.lit(k).alias("kind"), "spec", F.lit(bucket[k]).alias("bucket"), "target") for k, df in found.items()]
-    tagged.append(lists.filter("exists").select(F.lit("playlist").alias("kind"), "spec", F.lit("files").alias("bucket"), F.col("path").alias("target")))
     every = tagged[0]
     for part in tagged[1:]:
         every = every.unionByName(part)
     order = specs.groupBy("kind", "spec").agg(F.min("seq").alias("seq"))
-    targets = every.join(order, ["kind", "spec"]).groupBy("bucket", "target").agg(F.min("seq").alias("seq"))
+    files = listed.groupBy("item").agg(F.min("seq").alias("seq")).join(paths.filter("exists"), "item").select(F.lit("files").alias("bucket"), F.col("path").alias("target"), "seq")
+    targets = every.join(order, ["kind", "spec"]).select("bucket", "target", "seq").unionByName(files).groupBy("bucket", "target").agg(F.min("seq").alias("seq"))
     warned = [resolution_warnings(of(k), df).filter("warning is not null").select(F.lit(k).alias("kind"), "spec", "warning") for k, df in found.items()]
-    gone = lists.filter("not exists").groupBy("spec", "playlist").agg(F.count_distinct("path").alias("n"))
+    gone = listed.join(paths.filter("not exists"), "item").groupBy("key", "playlist").agg(F.count_distinct("path").alias("n")).join(named, "key")
     warned.append(gone.select(F.lit("playlist").alias("kind"), "spec", F.concat("playlist", F.lit(": "), F.col("n").cast("string"), F.lit(" track(s) not there (skipped)")).alias("warning")))
     unknown = specs.filter(~F.col("kind").isin(*found)).select("kind", "spec", F.concat(F.lit("unknown kind "), "kind").alias("warning")).distinct()
     warned.append(unknown)

@@ -289,10 +289,12 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     library = table(spark, d, "library")
-    rows = table(spark, d, "playlist_tracks").select(T.playlist_id_of(T.strip(F.col("playlist_id"))).alias("playlist"), F.col("playlist_name").alias("name"), "track_name")
-    files = library.select(F.col("title").alias("track_name"), T.normal_path(F.col("path")).alias("path"))
-    entries = rows.filter("playlist <> ''").join(files, "track_name", "left").select("playlist", "name", F.coalesce("path", F.concat(F.lit("lost/"), "track_name")).alias("path")).filter("path is not null").distinct()
-    return resolve.resolve_targets(_asked(spark, d), library, cut_lineage(entries), "downloads")
+    rows = table(spark, d, "playlist_tracks").select(T.playlist_id_of(T.strip(F.col("playlist_id"))).alias("playlist"), F.col("playlist_name").alias("name"), F.col("track_name").alias("item"))
+    entries = cut_lineage(rows.filter("playlist <> '' AND item IS NOT NULL").distinct())
+    # a title stands in many playlists and names many files: the two meet per title, not per row
+    files = library.select(F.col("title").alias("item"), T.normal_path(F.col("path")).alias("path"))
+    paths = entries.select("item").distinct().join(files, "item", "left").select("item", F.coalesce("path", F.concat(F.lit("lost/"), "item")).alias("path")).distinct()
+    return resolve.resolve_targets(_asked(spark, d), library, entries, "downloads", paths)
 
 
 def q_resolve_targets(spark: SparkSession, d: str) -> DataFrame:

@@ -348,3 +348,25 @@ def test_targets_are_resolved_and_expanded(spark):
     spec = lambda *s: spark.createDataFrame([(x,) for x in s], "spec string")
     assert resolve.needs_catalog("album", spec("Gold"), library) and not resolve.needs_catalog("album", spec("Ann - Red", "albums/Ann - Red"), library)
     assert not resolve.needs_catalog("playlist", spec("x"), library) and resolve.needs_catalog("song", spec("x"), library) and not resolve.needs_catalog("song", spec("x.mp3"), library)
+
+
+def test_a_title_of_many_playlists_and_files_is_not_multiplied_out(spark, tmp_path, monkeypatch):
+    from loomline.plans import exchange_queries
+
+    n = 120
+    d = str(tmp_path)
+    lists = [(i, f"list{i:020d}", "Mix" if i % 2 else "mix", "Song" if i else "Gone") for i in range(n)]
+    spark.createDataFrame(lists, "seq long, playlist_id string, playlist_name string, track_name string").write.parquet(f"{d}/playlist_tracks.parquet")
+    spark.createDataFrame([(i, "Ann", "Ann", "Red", "1", "Song", f"albums/Ann - Red/{i}.mp3", 1.0) for i in range(n)],
+                          "file_id long, artist string, albumartist string, album string, track string, title string, path string, length double").write.parquet(f"{d}/library.parquet")
+    spark.createDataFrame([(7, "Red", "Other")], "row_id long, album_name string, track_name string").write.parquet(f"{d}/spotify_manifest.parquet")
+    kept = []
+    cut = exchange_queries.cut_lineage
+    monkeypatch.setattr(exchange_queries, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    targets, problems = exchange_queries.q_resolve_targets(spark, d).collect(), exchange_queries.q_resolve_problems(spark, d).collect()
+    assert max(df.count() for df in kept) <= n  # not the n * n of the files of each list
+    by = {b: {(r.target, r.seq) for r in targets if r.bucket == b} for b in ("files", "m3u8", "folders")}
+    assert by["files"] == {(f"albums/Ann - Red/{i}.mp3", 0) for i in range(n)} and by["m3u8"] == {(x[1], 0) for x in lists} and by["folders"] == {("albums/Ann - Red", 7)}
+    said = {(r.kind, r.spec, r.warning) for r in problems}
+    assert {("playlist", s, f"{lists[0][1]}: 1 track(s) not there (skipped)") for s in ("Mix", "mix")} <= said and ("playlist", "mix", f"mix matched {n} targets") in said
+    assert len(problems) == 2 + 2 + 3  # also a song and a soundtrack that are not there, and a kind that there is not
