@@ -178,6 +178,32 @@ def block_keys(words: tuple[str, ...], common: frozenset[str] = COMMON_WORDS) ->
     return keys or {"".join(words)}
 
 
+def sounds_of(common: frozenset[str]) -> frozenset[str]:
+    """The sounds by which words meet that are ``common`` or one slip of sound from a common one."""
+    return frozenset(c for w in common for c in shortened(phonetic(w)))
+
+
+def shared_keys(words: tuple[str, ...], common: frozenset[str], sounds: frozenset[str]) -> set[tuple[str, str]]:
+    """(key, other): the keys that ``block_keys`` leaves out, under which many names meet.
+
+    ``other`` is the word beside the common one: only names whose other words are near can be one
+    act. It is empty if the key holds the sounds of both words, so that few names have it.
+    """
+    keys = set()
+    for i, main in enumerate(words if len(words) > 1 else ()):
+        if len(main) < 3:
+            continue
+        met = shortened(phonetic(main)) & sounds
+        for j, other in enumerate(words):
+            if i == j:
+                continue
+            for full in full_forms(other):
+                keys.update((f"{c}|{full[0]}", full) for c in met)
+                if main in common and len(other) > 1:
+                    keys.add(("&".join(sorted((phonetic(main), phonetic(full)))), ""))
+    return keys
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0

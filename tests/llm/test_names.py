@@ -92,3 +92,12 @@ def test_attributes_of_long_titles_survive_two_slips():
     slips = [*title[:4], "wxxxxx", *title[5:11], "wyyyyy", *title[12:]]
     assert attribute_keys(["someone"], title) & attribute_keys(["someone"], slips) and len(attribute_keys(["someone"], title * 500)) < 200
     assert attribute_keys(["ann", "quill"], ["amber", "ember"]) & attribute_keys(["ann", "quill"], ["amer", "ember"])
+
+
+def test_names_with_common_words_meet_beside_near_words(spark):
+    """A word of many names makes no large block, but no partner is lost: two slips in the other word, or all words common."""
+    firsts = "ann bea cid dot eve fay gus hal ida jon kit lou".split()
+    names = [f"{w} {f}" for w in ("Wanderer", "Karadon") for f in firsts] + ["Wanderer Sefeduthore", "Wanderer Sefedzthorm", "Karadon Livokegnel", "Karadon Livokengrl", "DJ Wanderer", "DJ Wandera"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r.name_a, r.name_b) for r in variant_pairs(df, "name").collect()}
+    assert got == {("Wanderer Sefeduthore", "Wanderer Sefedzthorm"), ("Karadon Livokegnel", "Karadon Livokengrl"), ("DJ Wandera", "DJ Wanderer")}
