@@ -143,15 +143,15 @@ def _keyed(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[p
                 for act in who:
                     found |= attribute_keys(list(act), list(title["words"]), common)
             keys.append(sorted(found))
-        yield pd.DataFrame({"node": f["node"], "keys": keys})
+        yield f[["node", "low", "high"]].assign(keys=keys)
 
 
 def _score(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[pd.DataFrame]:
-    """Per edge the likeness of titles (with versions and lengths) and of names."""
+    """Per edge the likeness of titles (with versions, and whether both lengths are known) and of names."""
     for f in frames:
         title, name, who = np.zeros(len(f)), np.zeros(len(f)), [""] * len(f)
-        columns = (f[c] for c in ("t_act", "t_titles", "low", "high", "f_acts", "f_titles", "length"))
-        for i, (t_act, t_titles, low, high, f_acts, f_titles, length) in enumerate(zip(*columns, strict=True)):
+        columns = (f[c] for c in ("t_act", "t_titles", "f_acts", "f_titles", "timed"))
+        for i, (t_act, t_titles, f_acts, f_titles, timed) in enumerate(zip(*columns, strict=True)):
             mine = t_titles[0]
             best = 0.0
             for other in f_titles:
@@ -159,10 +159,7 @@ def _score(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[p
                     best = max(best, same_title(list(mine["words"]), list(other["words"]), list(mine["df"]), list(other["df"])))
             if not best:
                 continue
-            known = length and length > 0 and high and high > 0
-            if known and (length < low - SECONDS or length > high + SECONDS):
-                continue
-            title[i] = best * (1.0 if known else 0.92)
+            title[i] = best * (1.0 if timed else 0.92)
             own = tuple(t_act[0])
             scores = [(same_act(own, tuple(a), common=common), -k) for k, a in enumerate(f_acts)]
             name[i] = max(scores)[0]
@@ -173,22 +170,24 @@ def _score(frames: Iterator[pd.DataFrame], common: frozenset[str]) -> Iterator[p
 
 
 def _with_frequencies(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (side, node, acts, titles) with, beside the words of each title, in how many titles each stands."""
+    """``nodes`` (side, node, acts, titles, low, high) with, beside the words of each title, in how many titles each stands."""
     words = nodes.select("side", "node", F.posexplode("titles").alias("reading", "t")).select("side", "node", "reading", F.posexplode("t.words").alias("at", "word"))
     df = words.groupBy("word").agg(F.count("*").cast("int").alias("df"))
     back = words.join(df, "word").groupBy("side", "node").agg(F.array_sort(F.collect_list(F.struct("reading", "at", "df"))).alias("all"))
     own = lambda i: F.transform(F.filter("all", lambda x: x["reading"] == i), lambda x: x["df"])
     titles = F.transform("titles", lambda t, i: F.struct(t["words"].alias("words"), t["version"].alias("version"), own(i).alias("df")))
-    return nodes.join(back, ["side", "node"]).select("side", "node", "acts", titles.alias("titles"))
+    return nodes.join(back, ["side", "node"]).select("side", "node", "acts", titles.alias("titles"), "low", "high")
 
 
 def _candidates(tracks: DataFrame, files: DataFrame) -> DataFrame:
     """(track_node, file_node) of the edges that meta-blocking leaves.
 
-    A large attribute is a grid of tasks, so none holds all of it.
+    Nodes whose known lengths differ too much are no recording, whatever their names: they make no
+    edge, so edges do not grow with all that share a word. A large attribute is a grid of tasks,
+    so none holds all of it.
     """
     # an attribute travels as a hash: two that share one by chance are one more candidate, which is compared as any other
-    keyed = lambda df: df.select("node", F.explode("keys").alias("k")).select("node", F.xxhash64("k").alias("key"))
+    keyed = lambda df: df.select("node", "low", "high", F.explode("keys").alias("k")).select("node", "low", "high", F.xxhash64("k").alias("key"))
     left, right = keyed(tracks), keyed(files)
     total = F.lit(1.0) + tracks.agg(F.count("*").alias("n")).scalar() + files.agg(F.count("*").alias("n")).scalar()
     sizes = left.groupBy("key").agg(F.count("*").alias("n_left")).join(right.groupBy("key").agg(F.count("*").alias("n_right")), "key")
@@ -197,9 +196,10 @@ def _candidates(tracks: DataFrame, files: DataFrame) -> DataFrame:
     sizes = sizes.select("key", parts("n_left").alias("rows"), parts("n_right").alias("columns"), weight.alias("weight"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(sizes, "key").select("key", F.col("node").alias("track_node"), "weight", own("rows").alias("row"), every("columns").alias("column"))
-    b = right.join(sizes, "key").select("key", F.col("node").alias("file_node"), own("columns").alias("column"), every("rows").alias("row"))
-    edges = cut_lineage(a.join(b, ["key", "row", "column"]).groupBy("track_node", "file_node").agg(F.sum("weight").alias("weight")))
+    a = left.join(sizes, "key").select("key", F.col("node").alias("track_node"), "low", "high", "weight", own("rows").alias("row"), every("columns").alias("column"))
+    b = right.join(sizes, "key").select("key", F.col("node").alias("file_node"), F.col("low").alias("length"), own("columns").alias("column"), every("rows").alias("row"))
+    fits = F.col("length").isNull() | F.col("high").isNull() | F.col("length").between(F.col("low") - SECONDS, F.col("high") + SECONDS)
+    edges = cut_lineage(a.join(b, ["key", "row", "column"]).filter(fits).groupBy("track_node", "file_node").agg(F.sum("weight").alias("weight")))
     best_t = edges.groupBy("track_node").agg((F.max("weight") * KEEP).alias("floor_t"))
     best_f = edges.groupBy("file_node").agg((F.max("weight") * KEEP).alias("floor_f"))
     kept = edges.join(best_t, "track_node").join(best_f, "file_node").filter((F.col("weight") >= F.col("floor_t")) | (F.col("weight") >= F.col("floor_f")))
@@ -260,18 +260,19 @@ def recordings(
     f_parsed = cut_lineage(f_rows.repartition("file_id").mapInPandas(_files, f"file_id long, length double, {READINGS}").withColumn("node", signature))
     # files with equal readings and lengths, however many, are one node
     f_nodes = numbered(f_parsed.groupBy("node").agg(F.first("acts").alias("acts"), F.first("titles").alias("titles"), F.first("length").alias("length")))
-    both = t_nodes.select(F.lit("t").alias("side"), F.col("code").alias("node"), F.array("act").alias("acts"), F.array(F.struct("words", "version")).alias("titles")).unionByName(
-        f_nodes.select(F.lit("f").alias("side"), F.col("code").alias("node"), "acts", "titles")
-    )
+    known = lambda c: F.when((F.col(c) > 0) & ~F.isnan(c), F.col(c))
+    both = t_nodes.select(
+        F.lit("t").alias("side"), F.col("code").alias("node"), F.array("act").alias("acts"), F.array(F.struct("words", "version")).alias("titles"), known("low").alias("low"), known("high").alias("high")
+    ).unionByName(f_nodes.select(F.lit("f").alias("side"), F.col("code").alias("node"), "acts", "titles", known("length").alias("low"), known("length").alias("high")))
     full = cut_lineage(_with_frequencies(both))
     common = common_words(t_nodes.select(F.col("act").alias("words")).distinct())
-    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles").repartition("node").mapInPandas(lambda f: _keyed(f, common), "node long, keys array<string>")
+    tagged = lambda side: full.filter(F.col("side") == side).select("node", "acts", "titles", "low", "high").repartition("node").mapInPandas(lambda f: _keyed(f, common), "node long, low double, high double, keys array<string>")
     edges = _candidates(cut_lineage(tagged("t")), cut_lineage(tagged("f")))
-    left = full.filter("side = 't'").select(F.col("node").alias("track_node"), F.col("acts").alias("t_act"), F.col("titles").alias("t_titles"))
-    left = left.join(t_nodes.select(F.col("code").alias("track_node"), "low", "high", F.array_join("act", " ").alias("t_name")), "track_node")
-    right = full.filter("side = 'f'").select(F.col("node").alias("file_node"), F.col("acts").alias("f_acts"), F.col("titles").alias("f_titles"))
-    right = right.join(f_nodes.select(F.col("code").alias("file_node"), "length"), "file_node")
-    scored = edges.join(left, "track_node").join(right, "file_node").mapInPandas(
+    first = F.array_join(F.col("acts")[0], " ")
+    left = full.filter("side = 't'").select(F.col("node").alias("track_node"), F.col("acts").alias("t_act"), F.col("titles").alias("t_titles"), first.alias("t_name"), F.col("high").alias("t_high"))
+    right = full.filter("side = 'f'").select(F.col("node").alias("file_node"), F.col("acts").alias("f_acts"), F.col("titles").alias("f_titles"), F.col("high").alias("f_high"))
+    timed = (F.col("t_high").isNotNull() & F.col("f_high").isNotNull()).alias("timed")
+    scored = edges.join(left, "track_node").join(right, "file_node").select("track_node", "file_node", "t_name", "t_act", "t_titles", "f_acts", "f_titles", timed).mapInPandas(
         lambda f: _score(f, common), "track_node long, file_node long, t_name string, f_name string, t_title string, title double, name double"
     )
     found = spread(scored).filter(F.col("confidence") >= ACCEPT).select("track_node", "file_node", "confidence")

@@ -153,3 +153,14 @@ def test_a_row_without_time_stands_with_its_value(spark):
     assert got == {"a": (day(2), 1), "new": (None, 1), None: (None, 1)}
     dated = {r.url: tuple(r.currency) for r in survivors.placed(df.filter("at is not null"), "url").collect()}
     assert dated == {"a": (day(2), 0), "b": (day(5), 0)}
+
+
+def test_lengths_decide_before_edges_are_made(spark):
+    """Nodes that share an attribute make no edge if their known lengths differ; an unknown length meets all."""
+    from loomline.llm import linkage
+
+    of = lambda rows: spark.createDataFrame([(i, low, high, ["k"]) for i, low, high in rows], "node long, low double, high double, keys array<string>")
+    tracks = [(i, 10.0 * i, 10.0 * i + 1) for i in range(1, 40)] + [(90, None, None)]
+    files = [(i, 10.0 * i + 5, 10.0 * i + 5) for i in range(1, 40)] + [(91, None, None)]
+    got = {(r.track_node, r.file_node) for r in linkage._candidates(of(tracks), of(files)).collect()}
+    assert got == {(i, i) for i in range(1, 40)} | {(i, 91) for i in range(1, 40)} | {(90, i) for i in range(1, 40)} | {(90, 91)}
